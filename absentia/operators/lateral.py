@@ -1,0 +1,30 @@
+"""Compute costly columns once."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from absentia.functions.text import ref
+
+
+def with_computed(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """`withColumns`, but each expression is evaluated once per row.
+
+    Later filters on a plain computed column are pushed below its projection
+    with the whole expression copied into them, so a parsed date would be parsed
+    again by every rule that looks at it. A lateral one-row `inline` keeps the
+    filters on the finished value; filters on other columns still pass through.
+    Columns that are only renamed or passed on need none of this.
+    """
+    stand_ins = {f"_computed_{i}": name for i, name in enumerate(columns)}
+    one_row = F.array(
+        F.struct(*[columns[name].alias(s) for s, name in stand_ins.items()])
+    )
+    wide = df.select("*", F.inline(one_row))
+    replaced = {name: s for s, name in stand_ins.items()}
+    names = list(df.columns) + [n for n in columns if n not in df.columns]
+    return wide.select(
+        [(F.col(replaced[n]).alias(n) if n in replaced else ref(n)) for n in names]
+    )
