@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from absentia.functions.dates import hours_between
+from absentia.functions.dates import hours_from, moment_or_clock
+from absentia.functions.lateral import with_computed
 from absentia.functions.numbers import number_of
 from absentia.functions.text import ref, strip
 from absentia.vocabulary import (
@@ -43,12 +44,14 @@ def absence_days_exact(df: DataFrame) -> Column:
     return F.coalesce(days, F.lit(0.0))
 
 
-def absence_days_priority(df: DataFrame) -> Column:
-    """Days by the first source that has an answer for the row.
+def absence_days_priority(df: DataFrame) -> DataFrame:
+    """Set the days to the first source that has an answer for the row.
 
     A day count on file, then hours, then start and end time, then the absence
     type, else 0. Usage hours stand in only for a missing duration: a negative
-    duration moves on to the times.
+    duration moves on to the times. Times are parsed in steps of their own, and
+    only in rows that get that far: one expression for all sources would grow
+    beyond what the JVM compiles.
     """
     present = set(df.columns)
     sources = []
@@ -60,7 +63,14 @@ def absence_days_priority(df: DataFrame) -> Column:
     if hour_columns:
         hours = F.coalesce(*hour_columns)
         sources.append(F.when(hours >= 0, hours / HOURS_PER_DAY))
-    if START_TIME in present and END_TIME in present:
-        sources.append(hours_between(ref(START_TIME), ref(END_TIME)) / HOURS_PER_DAY)
-    sources.append(_days_by_type(df))
-    return F.coalesce(*sources, F.lit(0.0))
+    last = [_days_by_type(df), F.lit(0.0)]
+    if not {START_TIME, END_TIME} <= present:
+        return df.withColumn(ABSENCE_DAYS, F.coalesce(*sources, *last))
+    known = F.coalesce(*sources) if sources else F.lit(None).cast("double")
+    staged = with_computed(df, {"_days": known})
+    open_row = F.col("_days").isNull() & ref(START_TIME).isNotNull() & ref(END_TIME).isNotNull()
+    for name, text in (("_start", START_TIME), ("_end", END_TIME)):
+        staged = with_computed(staged, {name: F.when(open_row, moment_or_clock(ref(text)))})
+    timed = hours_from(F.col("_start"), F.col("_end")) / HOURS_PER_DAY
+    days = F.coalesce(F.col("_days"), timed, *last)
+    return staged.withColumn(ABSENCE_DAYS, days).drop("_days", "_start", "_end")

@@ -18,13 +18,11 @@ def with_computed(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     filters on the finished value; filters on other columns still pass through.
     Columns that are only renamed or passed on need none of this.
     """
-    stand_ins = {f"_computed_{i}": name for i, name in enumerate(columns)}
-    one_row = F.array(
-        F.struct(*[columns[name].alias(s) for s, name in stand_ins.items()])
-    )
-    wide = df.select("*", F.inline(one_row))
-    replaced = {name: s for s, name in stand_ins.items()}
+    stand_ins = {name: f"_computed_{i}" for i, name in enumerate(columns)}
+    finished = df.select("*", *[columns[n].alias(s) for n, s in stand_ins.items()])
+    one_row = F.array(F.struct(*[F.col(s).alias(f"{s}_out") for s in stand_ins.values()]))
+    wide = finished.select(*[ref(c) for c in df.columns], F.inline(one_row))
     names = list(df.columns) + [n for n in columns if n not in df.columns]
     return wide.select(
-        [(F.col(replaced[n]).alias(n) if n in replaced else ref(n)) for n in names]
+        [F.col(f"{stand_ins[n]}_out").alias(n) if n in stand_ins else ref(n) for n in names]
     )

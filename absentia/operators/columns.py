@@ -183,6 +183,14 @@ def mapping_warnings(mapping: Mapping[str, str]) -> list[str]:
     return warnings
 
 
+def mapping_check(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """(warning, n_rows): each warning with the number of rows it concerns."""
+    warnings = F.array(*[F.lit(w) for w in mapping_warnings(mapping)]).cast("array<string>")
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.explode(warnings).alias("warning"), "n_rows"
+    )
+
+
 def _merge_under(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Give the columns these names and merge equal ones.
 

@@ -8,7 +8,7 @@ from absentia.config import RowFilters
 from absentia.functions.dates import moment_of
 from absentia.functions.text import ref
 from absentia.operators.columns import dedup_header, select_strict
-from absentia.operators.lateral import with_computed
+from absentia.functions.lateral import with_computed
 from absentia.vocabulary import DATE, EMPLOYEE_TYPE, FILLED, SCHOOL_YEAR
 
 

@@ -10,7 +10,7 @@ over many employees.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from absentia.config import RatingParams
 from absentia.functions.numbers import round6
@@ -36,11 +36,11 @@ def clamp_days(t: Column, p: RatingParams) -> Column:
 
 
 def _total(days: Column) -> Column:
-    return round6(F.coalesce(F.sum(days), F.lit(0.0)))
+    return F.coalesce(F.sum(days), F.lit(0.0))
 
 
 def cc_days_total(t: Column, p: RatingParams, mode: str = "range_only") -> Column:
-    """Covered days of employees in range; high claimants add nothing.
+    """Covered days of employees in range, unrounded; high claimants add nothing.
 
     "range_only" counts days above the deductible, "all_days" the whole total.
     """
@@ -63,28 +63,33 @@ def band_columns(t: Column, p: RatingParams) -> list[Column]:
     ]
 
 
-def with_premium(df: DataFrame, p: RatingParams, cc_days: str = "total_cc_days") -> DataFrame:
-    """Price covered days: cost, the two commissions and their sum."""
-    base = F.col(cc_days) * F.lit(p.replacement_cost)
+def _priced(df: DataFrame, p: RatingParams) -> DataFrame:
+    """Price covered days: cost, the two commissions and their sum, unrounded."""
+    base = F.col("total_cc_days") * F.lit(p.replacement_cost)
     carrier, acquisition = base * F.lit(p.carrier_rate), base * F.lit(p.acquisition_rate)
-    return df.withColumns(
-        {
-            "replacement_cost_cc": round6(base),
-            "carrier_margin": round6(carrier),
-            "acquisition_cost": round6(acquisition),
-            "premium": round6(base + carrier + acquisition),
-        }
+    priced = {
+        "replacement_cost_cc": base,
+        "carrier_margin": carrier,
+        "acquisition_cost": acquisition,
+        "premium": base + carrier + acquisition,
+    }
+    if "excess_days" in df.columns:
+        priced["high_claimant_cost"] = F.col("excess_days") * F.lit(p.replacement_cost)
+    return df.withColumns(priced)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Every double at six decimals, for the eye; the last step of a result."""
+    return df.select(
+        [
+            round6(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+            else F.col(f.name)
+            for f in df.schema.fields
+        ]
     )
 
 
-def band_counts(book: DataFrame, p: RatingParams) -> DataFrame:
-    """One row: employees per band over all years."""
-    return employee_totals(book).agg(*band_columns(F.col("total_days"), p))
-
-
-def coverage_metrics(book: DataFrame, p: RatingParams, mode: str = "all_days") -> DataFrame:
-    """One row of coverage figures over all years, by default counting the whole
-    total of an employee in range."""
+def _coverage(book: DataFrame, p: RatingParams, mode: str) -> DataFrame:
     t = F.col("total_days")
     row = employee_totals(book).agg(
         F.count_if(in_range(t, p)).alias("num_staff_cc_range"),
@@ -92,25 +97,35 @@ def coverage_metrics(book: DataFrame, p: RatingParams, mode: str = "all_days") -
         F.count_if(high(t, p)).alias("num_high_claimant"),
         excess_total(t, p).alias("excess_days"),
     )
-    cost = F.lit(p.replacement_cost)
-    return row.withColumns(
+    return rounded(_priced(row, p)).withColumns(
         {
-            "replacement_cost_cc": round6(F.col("total_cc_days") * cost),
-            "high_claimant_cost": round6(F.col("excess_days") * cost),
             "deductible": F.lit(p.deductible),
             "cc_days": F.lit(p.cc_days),
             "cc_maximum": F.lit(p.cc_maximum),
-            "replacement_cost": cost,
+            "replacement_cost": F.lit(p.replacement_cost),
         }
     )
 
 
+def coverage_metrics(book: DataFrame, p: RatingParams, mode: str = "all_days") -> DataFrame:
+    """One row of coverage figures over all years, by default counting the whole
+    total of an employee in range."""
+    return _coverage(book, p, mode).drop("carrier_margin", "acquisition_cost", "premium")
+
+
+def coverage_and_premium(book: DataFrame, p: RatingParams, mode: str = "all_days") -> DataFrame:
+    """The coverage figures with the commissions and the total premium on them."""
+    return _coverage(book, p, mode).withColumnsRenamed({"premium": "total_premium"}).withColumn(
+        "school_year_days", F.lit(p.school_year_days).cast("int")
+    )
+
+
 def premium(book: DataFrame, p: RatingParams, mode: str = "range_only") -> DataFrame:
     """One row: premium over all years."""
     row = employee_totals(book).agg(
         cc_days_total(F.col("total_days"), p, mode).alias("total_cc_days")
     )
-    return with_premium(row, p)
+    return rounded(_priced(row, p))
 
 
 def year_metrics(book: DataFrame, p: RatingParams) -> DataFrame:
@@ -128,8 +143,8 @@ def year_metrics(book: DataFrame, p: RatingParams) -> DataFrame:
     )
 
 
-def year_breakdown(book: DataFrame, p: RatingParams) -> DataFrame:
-    """Per year: staff, bands on that year's totals, covered and excess days, price."""
+def year_figures(book: DataFrame, p: RatingParams) -> DataFrame:
+    """The year breakdown before rounding, which averages are taken of."""
     t = F.col("total_days")
     rows = (
         staff_years(book)
@@ -140,7 +155,12 @@ def year_breakdown(book: DataFrame, p: RatingParams) -> DataFrame:
             excess_total(t, p).alias("excess_days"),
         )
     )
-    return with_premium(rows, p)
+    return _priced(rows, p).drop("high_claimant_cost")
+
+
+def year_breakdown(book: DataFrame, p: RatingParams) -> DataFrame:
+    """Per year: staff, bands on that year's totals, covered and excess days, price."""
+    return rounded(year_figures(book, p))
 
 
 def teacher_year_stats(book: DataFrame, p: RatingParams) -> DataFrame:
@@ -148,7 +168,7 @@ def teacher_year_stats(book: DataFrame, p: RatingParams) -> DataFrame:
     t = F.col("total_days")
     return staff_years(book).agg(
         F.count(F.lit(1)).alias("n_staff_years"),
-        _total(t).alias("sum_days"),
+        round6(_total(t)).alias("sum_days"),
         round6(F.avg(t)).alias("avg_days"),
         round6(F.max(t)).alias("max_days"),
         F.count_if(below(t, p)).alias("below_deductible"),
@@ -174,17 +194,17 @@ def rating_summary(book: DataFrame, p: RatingParams, excess_mode: str = "excess_
     all_days = F.coalesce(F.sum("all_days"), F.lit(0.0))
     row = staff.agg(
         F.count("employee_id").alias("overall_total_staff"),
-        round6(all_days).alias("overall_days"),
+        all_days.alias("all_days"),
         *band_columns(t, p),
         cc_days_total(t, p).alias("total_cc_days"),
         excess_total(t, p, excess_mode).alias("excess_days"),
     )
     cost = F.lit(p.replacement_cost)
-    return with_premium(row, p).select(
+    result = _priced(row, p).select(
         "overall_total_staff",
-        F.col("overall_days").cast("bigint").alias("overall_total_absences"),
-        F.col("overall_days").alias("overall_total_absences_exact"),
-        round6(F.col("overall_days") * cost).alias("overall_total_replacement_cost"),
+        round6(F.col("all_days")).cast("bigint").alias("overall_total_absences"),
+        F.col("all_days").alias("overall_total_absences_exact"),
+        (F.col("all_days") * cost).alias("overall_total_replacement_cost"),
         "total_teachers",
         F.col("below_deductible").alias("below_deductible_count"),
         F.col("in_cc_range").alias("num_staff_cc_range"),
@@ -192,7 +212,7 @@ def rating_summary(book: DataFrame, p: RatingParams, excess_mode: str = "excess_
         "replacement_cost_cc",
         F.col("high_claimant").alias("num_high_claimant"),
         "excess_days",
-        round6(F.col("excess_days") * cost).alias("high_claimant_cost"),
+        "high_claimant_cost",
         "carrier_margin",
         "acquisition_cost",
         F.col("premium").alias("total_premium"),
@@ -202,6 +222,7 @@ def rating_summary(book: DataFrame, p: RatingParams, excess_mode: str = "excess_
         cost.alias("replacement_cost"),
         F.lit(p.school_year_days).cast("int").alias("school_year_days"),
     )
+    return rounded(result)
 
 
 def overall_totals(book: DataFrame, p: RatingParams) -> DataFrame:
@@ -209,12 +230,13 @@ def overall_totals(book: DataFrame, p: RatingParams) -> DataFrame:
     staff = book.groupBy("employee_id").agg(F.sum("days").alias("days"))
     row = staff.agg(
         F.count("employee_id").alias("overall_total_staff"),
-        round6(F.coalesce(F.sum("days"), F.lit(0.0))).alias("days"),
+        F.coalesce(F.sum("days"), F.lit(0.0)).alias("days"),
     )
+    days = round6(F.col("days"))
     return row.select(
         "overall_total_staff",
-        F.col("days").cast("bigint").alias("overall_total_absences"),
-        F.col("days").alias("overall_total_absences_exact"),
+        days.cast("bigint").alias("overall_total_absences"),
+        days.alias("overall_total_absences_exact"),
         round6(F.col("days") * F.lit(p.replacement_cost)).alias("overall_total_replacement_cost"),
     )
 

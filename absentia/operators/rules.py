@@ -6,11 +6,14 @@ and is read as "does not hold" when unknown, so nulls never lose a row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from absentia.config import RuleConfig
-from absentia.functions.dates import moment_of, school_year_bounds
-from absentia.functions.text import norm_token, ref
+from absentia.functions.dates import label_years, moment_of, outside_school_year
+from absentia.functions.text import ref
+from absentia.functions.lateral import with_computed
 from absentia.vocabulary import (
     DATE,
     EMPLOYEE_TYPE,
@@ -24,7 +27,8 @@ from absentia.vocabulary import (
     UNFILLED_WORDS,
 )
 
-_ZERO = r"^[+-]?(0+\.?0*|\.0+)([eE][+-]?\d+)?$"
+# Any spelling of zero counts as "no".
+_ZERO = r"[+-]?(?:0+\.?0*|\.0+)(?:e[+-]?\d+)?"
 
 
 def rule1_exact_keep(df: DataFrame) -> Column | None:
@@ -49,8 +53,9 @@ def substitute_columns(df: DataFrame) -> tuple[str, str] | None:
 
 
 def _says(c: Column, words: tuple[str, ...]) -> Column:
-    token = norm_token(c)
-    return token.isin(*words) | token.rlike(_ZERO)
+    """The cell holds one of the words or a zero, in any case, blanks around it."""
+    options = "|".join([re.escape(w) for w in words] + [_ZERO])
+    return c.cast("string").rlike(rf"(?i)^\s*(?:{options})\s*$")
 
 
 def rule1_keep(df: DataFrame) -> Column | None:
@@ -76,17 +81,15 @@ def rule2_keep(df: DataFrame, employee_types) -> Column | None:
 def rule3_keep(df: DataFrame) -> Column | None:
     """Rows whose date lies within their school year, or that cannot be judged.
 
-    Compared as moments: 30 June counts only up to midnight at its start. A date
-    that is there but unreadable goes, if the label is readable.
+    Compared as moments: 30 June counts only up to midnight at its start.
     """
     if SCHOOL_YEAR not in df.columns or DATE not in df.columns:
         return None
-    first, last = school_year_bounds(ref(SCHOOL_YEAR))
-    moment = moment_of(df, DATE)
-    outside = (moment < first) | (moment > last)
-    if isinstance(df.schema[DATE].dataType, T.StringType):
-        outside = outside | (ref(DATE).isNotNull() & moment.isNull() & first.isNotNull())
-    return ~F.coalesce(outside, F.lit(False))
+    return ~_outside(df, moment_of(df, DATE))
+
+
+def _outside(df: DataFrame, moment: Column) -> Column:
+    return F.coalesce(outside_school_year(moment, ref(SCHOOL_YEAR)), F.lit(False))
 
 
 def _filtered(df: DataFrame, keep: Column | None) -> DataFrame:
@@ -108,7 +111,20 @@ def rule2(df: DataFrame, employee_types=TEACHER_TYPES) -> DataFrame:
 
 
 def rule3(df: DataFrame) -> DataFrame:
-    return _filtered(df, rule3_keep(df))
+    """Rule 3 as a filter. Text dates are parsed once for it and stay text; one
+    that cannot be read goes, if the label can."""
+    if not {SCHOOL_YEAR, DATE} <= set(df.columns):
+        return df
+    if not isinstance(df.schema[DATE].dataType, T.StringType):
+        return df.filter(rule3_keep(df))
+    parsed = with_computed(df, {"_moment": moment_of(df, DATE)})
+    moment = F.col("_moment")
+    unreadable = (
+        ref(DATE).isNotNull()
+        & moment.isNull()
+        & label_years(ref(SCHOOL_YEAR))[0].isNotNull()
+    )
+    return parsed.filter(~_outside(parsed, moment) & ~unreadable).drop("_moment")
 
 
 def gated_rules(df: DataFrame, config: RuleConfig) -> list[tuple[str, Column | None]]:

@@ -10,7 +10,7 @@ from absentia.config import RuleConfig
 from absentia.functions.dates import moment_of, school_year_wellformed
 from absentia.functions.numbers import number_of
 from absentia.functions.text import ref
-from absentia.operators.lateral import with_computed
+from absentia.functions.lateral import with_computed
 from absentia.operators.rules import gated_rules, rule1_exact_keep, rule2_keep
 from absentia.vocabulary import (
     DATE,

@@ -13,8 +13,7 @@ from absentia.vocabulary import ABSENCE_DAYS
 
 def clean_adaptive(df: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     """Validate, apply the rules their columns allow, work out days per row."""
-    kept = apply_rules(validate(df), config)
-    return kept.withColumn(ABSENCE_DAYS, absence_days_priority(kept))
+    return absence_days_priority(apply_rules(validate(df), config))
 
 
 def clean_exact(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from absentia.config import RatingParams
 from absentia.operators import rating
@@ -24,6 +24,10 @@ class RatingTables:
     def year_metrics(self) -> DataFrame:
         return rating.year_metrics(self.ledger, self.params)
 
+    @property
+    def year_figures(self) -> DataFrame:
+        return rating.year_figures(self.ledger, self.params)
+
     @property
     def year_breakdown(self) -> DataFrame:
         return rating.year_breakdown(self.ledger, self.params)
@@ -58,8 +62,4 @@ def rate_adaptive(
 
 def rate_exact(cleaned: DataFrame, params: RatingParams = RatingParams()) -> DataFrame:
     """One row: coverage on whole totals and the premium on it."""
-    row = rating.coverage_metrics(ledger(rating_frame(cleaned)), params)
-    priced = rating.with_premium(row, params)
-    return priced.withColumnRenamed("premium", "total_premium").withColumn(
-        "school_year_days", F.lit(params.school_year_days).cast("int")
-    )
+    return rating.coverage_and_premium(ledger(rating_frame(cleaned)), params)

@@ -100,7 +100,10 @@ def scan_layouts(
 def sink_csv(df: DataFrame, folder: str, shown: Mapping[str, str] | None = None) -> None:
     """Write all rows as CSV with a header, under display names if given."""
     names = {c: (shown or {}).get(c, c) for c in df.columns if c != ROW_ORDER}
-    # Quote marks double inside cells, as the scan expects.
+    # Quote marks double inside cells, as the scan expects; blanks around text stay.
     df.select([ref(c).alias(n) for c, n in names.items()]).write.options(
-        header=True, escape='"'
+        header=True,
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     ).csv(folder)

@@ -65,12 +65,18 @@ def append_run(row: DataFrame, folder: str) -> None:
 
 
 def append_failed_run(
-    spark: SparkSession, folder: str, step: str, error: BaseException, **known
+    spark: SparkSession,
+    folder: str,
+    step: str,
+    error: BaseException,
+    measured: DataFrame | None = None,
+    **known,
 ) -> None:
     """Record a failure: the step, the message and the whole traceback."""
     trace = "".join(traceback.format_exception(error))
     message = f"{error}\n\nTraceback:\n{trace}"
-    append_run(run_row(spark, "error", step=step, error_message=message, **known), folder)
+    row = run_row(spark, "error", measured, step=step, error_message=message, **known)
+    append_run(row, folder)
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:

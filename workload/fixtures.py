@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from absentia.functions.lateral import with_computed
+
 ORDER_COLUMNS = ("l_orderkey", "l_linenumber")
 # Rows share order and line numbers; a total order adds what else sets them apart.
 TOTAL_ORDER = ("l_orderkey", "l_linenumber", "Date", "Employee Identifier", "School Year",
@@ -36,6 +38,22 @@ def _with_lookups(lines: DataFrame, spark, sf_dir: str, wanted: set[str]) -> Dat
     return lines
 
 
+# Costly to make: each in a step of its own.
+_COSTLY = ("School Year", "Date", "Start Time", "End Time")
+
+
+def _records(
+    lines: DataFrame, made: dict[str, Column], names: list[str], made_once: Sequence[str]
+) -> DataFrame:
+    """The named columns; those in `made_once` are made once per row, as if read
+    from a file, and not again by each rule that looks at them."""
+    once = [n for n in names if n in made_once]
+    steps = [[n] for n in once if n in _COSTLY] + [[n for n in once if n not in _COSTLY]]
+    for step in filter(None, steps):
+        lines = with_computed(lines, {n: made[n] for n in step})
+    return lines.select([(F.col(n) if n in once else made[n]).alias(n) for n in names])
+
+
 def _start_year() -> Column:
     shipped = F.col("l_shipdate")
     return F.year(shipped) - F.when(F.month(shipped) < 7, 1).otherwise(0)
@@ -91,7 +109,7 @@ def absences(
     made = _typed_columns()
     names = list(columns or [n for n in made if n != "row_no"])
     lines = _with_lookups(table(spark, sf_dir, "lineitem"), spark, sf_dir, set(names))
-    return lines.select([made[n].alias(n) for n in names])
+    return _records(lines, made, names, ["School Year"])
 
 
 def _date_text() -> Column:
@@ -187,4 +205,4 @@ def raw_absences(
     made = _raw_columns()
     names = list(columns or RAW_COLUMNS)
     lines = _with_lookups(table(spark, sf_dir, "lineitem"), spark, sf_dir, set(names))
-    return lines.select([made[n].alias(n) for n in names])
+    return _records(lines, made, names, RAW_COLUMNS)
