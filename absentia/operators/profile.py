@@ -41,11 +41,16 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = PREVIEW_ROWS) -> Da
     )
 
 
+def fingerprint_of(columns: Sequence[str], n_rows: Column) -> Column:
+    """Short hash of the sorted column names and a row count, not of contents."""
+    names = repr(tuple(sorted(columns)))
+    text = F.concat(F.lit(names + "|"), n_rows.cast("string"))
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
-    """Short hash of the sorted column names and the row count, not of contents."""
-    names = repr(tuple(sorted(df.columns)))
-    text = F.concat(F.lit(names + "|"), F.count(F.lit(1)).cast("string"))
-    return df.agg(F.substring(F.sha2(text, 256), 1, 16).alias("dataset_fingerprint"))
+    count = df.agg(F.count(F.lit(1)).alias("n"))
+    return count.select(fingerprint_of(df.columns, F.col("n")).alias("dataset_fingerprint"))
 
 
 def file_info(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from absentia.operators.columns import (
     suggest_mapping,
 )
 from absentia.operators.filters import filter_rows
-from absentia.operators.profile import dataset_fingerprint
+from absentia.operators.profile import fingerprint_of
 from absentia.operators.validation import cleaning_stats, validation_report
 from absentia.plans.cleaning import clean_adaptive
 from absentia.plans.rate import RatingTables, rate_adaptive
@@ -99,7 +99,7 @@ def rate_file(
                 run_row(
                     spark,
                     "success",
-                    _measured(raw, stats, tables, cleaned.drop(ROW_ORDER)),
+                    _measured(raw if known["filters"] else None, stats, tables, cleaned),
                     **known,
                 ),
                 runs_folder,
@@ -121,23 +121,31 @@ def rate_file(
 
 
 def _measured(
-    raw: DataFrame, stats: DataFrame, tables: RatingTables, cleaned: DataFrame
+    raw: DataFrame | None, stats: DataFrame, tables: RatingTables, cleaned: DataFrame
 ) -> DataFrame:
     """The history row's figures in one frame, still to be computed.
 
-    Each part is one row with some of the columns; unioned and reduced by `max`
-    they make one row without a join.
+    The counts of the cleaning steps give all row numbers; raw rows are counted
+    apart only if filters (`raw` given) took some away. Each part is one row with
+    some of the columns; unioned and reduced by `max` they make one row without
+    a join.
     """
+    names = [c for c in cleaned.columns if c != ROW_ORDER]
+    counted = [
+        F.col("original_rows").alias("rows_selected"),
+        F.col("final_rows").alias("rows_cleaned"),
+        fingerprint_of(names, F.col("final_rows")).alias("dataset_fingerprint"),
+    ]
+    if raw is None:
+        counted.append(F.col("original_rows").alias("rows_raw"))
     parts = [
-        raw.agg(F.count(F.lit(1)).alias("rows_raw")),
-        stats.select(
-            F.col("original_rows").alias("rows_selected"), F.col("final_rows").alias("rows_cleaned")
-        ),
+        stats.select(counted),
         tables.summary.select(
             F.col("overall_total_staff").alias("total_teachers"), "total_premium"
         ),
-        dataset_fingerprint(cleaned),
     ]
+    if raw is not None:
+        parts.append(raw.agg(F.count(F.lit(1)).alias("rows_raw")))
     wide = parts[0]
     for part in parts[1:]:
         wide = wide.unionByName(part, allowMissingColumns=True)

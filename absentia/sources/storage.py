@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder all nodes can read and write")
-    folder = tempfile.mkdtemp(prefix="absentia-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    return _folder_of_this_machine()
+
+
+@cache
+def _folder_of_this_machine() -> str:
+    return tempfile.mkdtemp(prefix="absentia-")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
