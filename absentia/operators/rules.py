@@ -112,19 +112,27 @@ def rule2(df: DataFrame, employee_types=TEACHER_TYPES) -> DataFrame:
 
 def rule3(df: DataFrame) -> DataFrame:
     """Rule 3 as a filter. Text dates are parsed once for it and stay text; one
-    that cannot be read goes, if the label can."""
+    that cannot be read goes, if the label can.
+
+    The verdict is projected before it filters: a projection reads each part of
+    the label once, a bare filter condition once per mention.
+    """
     if not {SCHOOL_YEAR, DATE} <= set(df.columns):
         return df
-    if not isinstance(df.schema[DATE].dataType, T.StringType):
-        return df.filter(rule3_keep(df))
-    parsed = with_computed(df, {"_moment": moment_of(df, DATE)})
-    moment = F.col("_moment")
-    unreadable = (
-        ref(DATE).isNotNull()
-        & moment.isNull()
-        & label_years(ref(SCHOOL_YEAR))[0].isNotNull()
-    )
-    return parsed.filter(~_outside(parsed, moment) & ~unreadable).drop("_moment")
+    if isinstance(df.schema[DATE].dataType, T.StringType):
+        parsed = with_computed(df, {"_moment": moment_of(df, DATE)})
+        moment = F.col("_moment")
+        unreadable = (
+            ref(DATE).isNotNull()
+            & moment.isNull()
+            & label_years(ref(SCHOOL_YEAR))[0].isNotNull()
+        )
+        gone = _outside(parsed, moment) | unreadable
+    else:
+        parsed = df
+        gone = _outside(df, moment_of(df, DATE))
+    judged = with_computed(parsed, {"_gone": gone})
+    return judged.filter(~F.col("_gone")).drop("_gone", "_moment")
 
 
 def gated_rules(df: DataFrame, config: RuleConfig) -> list[tuple[str, Column | None]]:
