@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from absentia.llm import simhash, token_files
+from absentia.llm import chat, decontamination, mixing, simhash, substrings, token_files
 from absentia.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,43 @@ def _query(build):
     return build
 
 
+@_query
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(control).alias("text"),
+    )
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_turns(turns.unionByName(added)))
+
+
+def _control_starts(column: str) -> str:
+    """Characters that escaping adds to a text, in SQL."""
+    found = [f"length({column}) - length(replace({column}, '\\', ''))"]
+    for c in chat.CONTROL_STRINGS:
+        found.append(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}")
+    return "(" + " + ".join(found) + ")"
+
+
+_FRAME = len(chat.TURN + chat.TEXT + chat.END)
+ORACLES["op1_chat"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
+    AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, ''
+    ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(sum(length(role) + length(text) + {_control_starts('role')} + {_control_starts('text')}
+    + {_FRAME}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
 @_query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
@@ -30,7 +67,90 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents"), 20, with_text=False)
+    return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @_query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = token_files.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
     return token_files.read_tokens(frames)
+
+
+@_query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contained(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "item_id", F.col("n_found").cast("long").alias("n_found"),
+        F.col("n_shingles").cast("long").alias("n_shingles"), "containment",
+    )
+
+
+ORACLES["op7_decontamination"] = """
+WITH split AS (
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'),
+    lambda x: x <> '') AS w FROM documents),
+of_items AS (
+  SELECT min(item_id) AS item_id, w FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'),
+      lambda x: x <> '') AS w FROM benchmark) GROUP BY w HAVING len(w) > 0),
+items AS (
+  SELECT DISTINCT item_id, l, unnest(list_transform(range(1, len(w) - l + 2),
+    lambda i: array_to_string(w[i:i + l - 1], ' '))) AS s
+  FROM (SELECT *, least(len(w), 5) AS l FROM of_items)),
+sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id),
+lengths AS (SELECT DISTINCT l FROM items),
+docs AS (
+  SELECT DISTINCT id, l, unnest(list_transform(range(1, len(w) - l + 2),
+    lambda i: array_to_string(w[i:i + l - 1], ' '))) AS s
+  FROM split, lengths WHERE len(w) >= l)
+SELECT id AS doc_id, item_id, count(*) AS n_found, any_value(n) AS n_shingles,
+  count(*) / any_value(n) AS containment
+FROM docs JOIN items USING (l, s) JOIN sizes USING (item_id)
+GROUP BY id, item_id HAVING count(*) / any_value(n) >= 0.8"""
+
+
+@_query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.schedule(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "source", F.col("_block").alias("block"), F.col("_released").alias("released"),
+        F.col("_due").alias("due"), F.col("_slot").alias("slot"), F.col("_place").alias("place"),
+    )
+
+
+ORACLES["op9_mixing"] = f"""
+WITH RECURSIVE src AS (
+  SELECT coalesce('=' || source, '') AS src, CAST(floor(sqrt(count(*))) AS BIGINT) AS w
+  FROM documents GROUP BY ALL),
+total AS (SELECT CAST(sum(w) AS BIGINT) AS a, count(*) AS s, greatest({mixing.PERIOD}, 4 * count(*)) AS h
+  FROM src),
+parts AS (SELECT src, h, w * (h - s) // a AS whole, w * (h - s) % a AS rest, s FROM src, total),
+ranked AS (SELECT *, row_number() OVER (ORDER BY rest DESC, src) AS r,
+  h - s - sum(whole) OVER () AS left_over FROM parts),
+shares AS (SELECT src, h, CAST(1 + whole + CASE WHEN r <= left_over THEN 1 ELSE 0 END AS BIGINT) AS k,
+  row_number() OVER (ORDER BY src) AS i FROM ranked),
+lists AS (SELECT list(k ORDER BY i) AS k, max(h) AS h FROM shares),
+edf(t, done, pick) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(k, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM lists
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, n: d + CASE WHEN n = p THEN 1 ELSE 0 END), p
+  FROM (
+    SELECT t, done, list_min(list_transform(
+      list_filter(range(1, len(k) + 1), lambda i: k[i] > done[i] AND done[i] * h // k[i] <= t + 1),
+      lambda i: {{'d': ((done[i] + 1) * h + k[i] - 1) // k[i], 'r': done[i] * h // k[i], 'i': i}})).i AS p
+    FROM edf, lists WHERE t + 1 < h)),
+slots AS (SELECT src, k, h, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j
+  FROM edf JOIN shares ON pick = i WHERE t >= 0),
+docs AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS src, row_number() OVER (
+    PARTITION BY source ORDER BY md5('0|' || doc_id), doc_id) - 1 AS n FROM documents)
+SELECT doc_id, source, n // {mixing.BLOCK_DOCS} + 1 AS block,
+  CAST((n // {mixing.BLOCK_DOCS}) * h // k AS BIGINT) AS released,
+  CAST(((n // {mixing.BLOCK_DOCS} + 1) * h + k - 1) // k AS BIGINT) AS due,
+  CAST((n // {mixing.BLOCK_DOCS}) // k * h + slot AS BIGINT) AS slot, n % {mixing.BLOCK_DOCS} AS place
+FROM docs JOIN slots USING (src) WHERE j = (n // {mixing.BLOCK_DOCS}) % k"""
