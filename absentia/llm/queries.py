@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from absentia.llm import chat, decontamination, mixing, simhash, substrings, token_files
+from absentia.llm import (
+    chat, decontamination, mixing, simhash, substrings, token_files, toxicity,
+)
 from absentia.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +116,13 @@ FROM docs JOIN items USING (l, s) JOIN sizes USING (item_id)
 GROUP BY id, item_id HAVING count(*) / any_value(n) >= 0.8"""
 
 
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("key")
+
+
 @_query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.schedule(table(spark, sf_dir, "documents"))
