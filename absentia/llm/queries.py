@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from absentia.llm import (
-    chat, decontamination, mixing, simhash, substrings, token_files, toxicity,
+    chat, decontamination, mixing, perplexity, simhash, substrings, token_files, toxicity,
 )
 from absentia.llm.texts import table
 
@@ -81,6 +81,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(frames)
 
 
+@_query
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "log_perplexity", "low", "high",
+    )
+
+
 @_query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contained(
