@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from absentia.llm import (
-    chat, decontamination, mixing, perplexity, simhash, substrings, token_files, toxicity,
+    chat, cotraining, decontamination, html_text, mixing, perplexity, simhash, substrings, token_files, toxicity,
 )
 from absentia.llm.texts import table
 
@@ -89,6 +89,11 @@ def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contained(
@@ -171,3 +176,10 @@ SELECT doc_id, source, n // {mixing.BLOCK_DOCS} + 1 AS block,
   CAST(((n // {mixing.BLOCK_DOCS} + 1) * h + k - 1) // k AS BIGINT) AS due,
   CAST((n // {mixing.BLOCK_DOCS}) // k * h + slot AS BIGINT) AS slot, n % {mixing.BLOCK_DOCS} AS place
 FROM docs JOIN slots USING (src) WHERE j = (n // {mixing.BLOCK_DOCS}) % k"""
+
+
+@_query
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
+    return cotraining.score(docs, model).drop("key")
