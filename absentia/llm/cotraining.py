@@ -185,6 +185,12 @@ def co_train(x: np.ndarray, z: np.ndarray, y: np.ndarray, rounds: int = ROUNDS)
     scales = {v: _platt(odds[v], y[rest]) for v in views}
     both = np.stack([scales[v][0] * odds[v] + scales[v][1] for v in views], axis=1)
     weights, bias = _logistic(both, y[rest])
+    if (weights < 0).any():
+        # A view that speaks against itself beside the other adds nothing to it.
+        use = weights > 0 if (weights > 0).any() else np.array([True, False])
+        some, bias = _logistic(both[:, use], y[rest])
+        weights = np.zeros(2)
+        weights[use] = np.maximum(some, 0.0)
     return Model(models["text"], models["meta"], (scales["text"], scales["meta"]), weights, bias)
 
 
