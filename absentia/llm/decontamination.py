@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from absentia.functions.lateral import with_computed
-from absentia.llm.texts import text_bytes, text_key
+from absentia.llm.texts import text_bytes, text_key, whole_row
 from absentia.sources.storage import settle
 
 SHINGLE = 5
@@ -131,6 +131,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         contained(docs, benchmark, threshold)
         .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "hits"
     )
-    own = docs.withColumns({"_id0": F.col("doc_id").cast("long"), "_key0": text_key()})
-    same = F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key"))
-    return own.join(hit, same, "left_anti").drop("_id0", "_key0")
+    own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    return own.join(hit, same, "left_anti").select("row.*")

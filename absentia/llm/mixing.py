@@ -29,7 +29,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from absentia.llm.texts import text_key
+from absentia.llm.texts import text_key, whole_row
 
 PERIOD = 1024
 BLOCK_DOCS = 64
@@ -109,48 +109,39 @@ def schedule(
     docs: DataFrame, weights: Mapping[str, int] | None = None, block_docs: int = BLOCK_DOCS,
     seed: int = 0,
 ) -> DataFrame:
-    """All columns of docs, and _block (from 1, in its source), _released, _due, _slot,
-    _place (in its block). The mixed order is that of (_slot, _place)."""
+    """row (all columns of docs), block (from 1, in its source), released, due, slot,
+    place (in its block). The mixed order is that of (slot, place)."""
     share = shares(docs, weights)
-    shuffled = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = docs.withColumns({"_src": _source(docs), "_mix": shuffled, "_key": text_key()})
-    digits = _digits(docs.count())
-    keyed = keyed.withColumn("_group", F.substring("_mix", 1, digits))
-    sizes = keyed.groupBy("_src", "_group").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy("_src").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col("_src").alias("_osrc"), F.col("_group").alias("_ogroup"),
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+    doc_id = F.col("doc_id").cast("string")
+    shuffled = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id, F.lit(""))))
+    keyed = docs.select(
+        whole_row(docs), F.col("doc_id").alias("id"), _source(docs).alias("src"),
+        shuffled.alias("mix"), text_key().alias("key"),
+        F.substring(shuffled, 1, _digits(docs.count())).alias("lead"),
     )
-    within = Window.partitionBy("_src", "_group").orderBy("_mix", "doc_id", "_key")
-    numbered = keyed.withColumn("_n", F.row_number().over(within)).join(
-        offsets, (F.col("_src") == F.col("_osrc")) & (F.col("_group") == F.col("_ogroup"))
+    sizes = keyed.groupBy("src", "lead").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("src").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "src", "lead", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before")
     )
-    rank = F.col("_before") + F.col("_n") - 1
+    within = Window.partitionBy("src", "lead").orderBy("mix", "id", "key")
+    numbered = keyed.withColumn("n", F.row_number().over(within)).join(offsets, ["src", "lead"])
+    rank = F.col("before") + F.col("n") - 1
     blocks = numbered.withColumns({
-        "_b": F.floor(rank / block_docs).cast("long"), "_place": (rank % block_docs).cast("long"),
+        "b": F.floor(rank / block_docs).cast("long"), "place": (rank % block_docs).cast("long"),
     })
-    # Bounded: one row for each slot of a period.
-    slots = F.broadcast(period(share).select(
-        F.col("src").alias("_psrc"), F.col("k").alias("_k"), F.col("h").alias("_h"),
-        F.col("j").alias("_j"), F.col("slot").alias("_s"),
-    ))
-    shares_ = F.broadcast(share.select(F.col("src").alias("_ssrc"), F.col("k").alias("_sk")))
-    placed = blocks.join(shares_, F.col("_src") == F.col("_ssrc")).withColumn(
-        "_in", F.col("_b") % F.col("_sk")
-    )
-    placed = placed.join(slots, (F.col("_src") == F.col("_psrc")) & (F.col("_in") == F.col("_j")))
-    return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        (F.col("_b") + 1).alias("_block"),
-        F.expr("(_b * _h) div _k").alias("_released"),
-        F.expr("((_b + 1) * _h + _k - 1) div _k").alias("_due"),
-        F.expr("(_b div _k) * _h + _s").alias("_slot"), "_place",
+    # Bounded: one row for each source, and one for each slot of a period.
+    blocks = blocks.join(F.broadcast(share), "src").withColumn("j", F.col("b") % F.col("k"))
+    slots = F.broadcast(period(share).select("src", "j", F.col("slot").alias("s")))
+    return blocks.join(slots, ["src", "j"]).select(
+        "row", (F.col("b") + 1).alias("block"), F.expr("(b * h) div k").alias("released"),
+        F.expr("((b + 1) * h + k - 1) div k").alias("due"),
+        F.expr("(b div k) * h + s").alias("slot"), "place",
     )
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, **options) -> DataFrame:
     """The documents, columns as they came, sorted into the mixed order across partitions."""
     placed = schedule(docs, weights, **options)
-    ordered = placed.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
-    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
+    ordered = placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+    return ordered.select("row.*")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from absentia.llm import (
     chat, cotraining, decontamination, html_text, mixing, perplexity, simhash, substrings, token_files, toxicity,
 )
-from absentia.llm.texts import table
+from absentia.llm.texts import table, text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,10 +138,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.schedule(table(spark, sf_dir, "documents"))
-    return placed.select(
-        "doc_id", "source", F.col("_block").alias("block"), F.col("_released").alias("released"),
-        F.col("_due").alias("due"), F.col("_slot").alias("slot"), F.col("_place").alias("place"),
+    # The schedule needs texts only to tell rows of one id apart.
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", text_key().cast("string").alias("text")
+    )
+    return mixing.schedule(docs).select(
+        "row.doc_id", "row.source", "block", "released", "due", "slot", "place"
     )
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from absentia.llm.components import components
-from absentia.llm.texts import slices, text_key
+from absentia.llm.texts import slices, text_key, whole_row
 from absentia.sources.storage import settle
 
 GROUPS = 6
@@ -177,12 +177,12 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 3, distance: int = 2) ->
     kept = found.groupBy(*group).agg(F.min(place).alias("k"))
     kept = settle(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_key")), "kept")
     repeated = found.groupBy("doc_id", "key").count().where("count > 1")
-    own = docs.withColumns({"_id0": F.col("doc_id").cast("long"), "_key0": text_key()})
-    same = F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key"))
+    own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     stay = own.join(kept, same, "left_semi")
     if not repeated.isEmpty():
-        stay = stay.dropDuplicates(["_id0", "_key0"])
-    return stay.drop("_id0", "_key0")
+        stay = stay.dropDuplicates(["id", "key"])
+    return stay.select("row.*")
 
 
 def hex16(fp: Column) -> Column:

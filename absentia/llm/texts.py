@@ -52,3 +52,8 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 def text_key(column: str = "text") -> Column:
     """Tells rows of one id apart; null and empty text are alike."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that added columns never meet their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
