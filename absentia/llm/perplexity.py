@@ -175,7 +175,7 @@ def log_probability(orders: list[Order], grams: np.ndarray) -> np.ndarray:
         return np.full(len(grams), -np.log(SYMBOLS))
     out = np.zeros(len(grams))
     todo = np.arange(len(grams))
-    for order in reversed(orders):
+    for n, order in reversed(list(enumerate(orders))):
         at, hit = _find(order.grams, grams)
         out[todo[hit]] += order.log_p[at[hit]]
         todo, grams = todo[~hit], grams[~hit]
@@ -183,8 +183,7 @@ def log_probability(orders: list[Order], grams: np.ndarray) -> np.ndarray:
             return out
         at, hit = _find(order.contexts, grams >> np.uint32(BITS))
         out[todo[hit]] += order.left[at[hit]]
-        bits = BITS * (orders.index(order))
-        grams = grams & np.uint32((1 << bits) - 1)
+        grams = grams & np.uint32((1 << BITS * n) - 1)
     out[todo] -= np.log(SYMBOLS)
     return out
 
