@@ -28,8 +28,8 @@ frames. Other columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -44,8 +44,11 @@ BLOCK = 128
 PERCENTILE = 90
 FRAME_IDS = 1 << 16
 PART_BYTES = 24 << 20
-CACHED_PIECES = 400_000
-SLICE = 1 << 20
+YOUNG_PIECES = 400_000
+SLICE = 2 << 20
+_JOINED = 20_000
+# Marks that follow words.
+_MARKS = ".,;:!?%#$&*|)"
 
 _FRAMES = pa.schema([
     ("part", pa.int32()), ("frame", pa.int32()), ("n_tokens", pa.int64()),
@@ -124,51 +127,120 @@ def unpack(frame: dict[str, bytes], n: int, first: int = 0, last: int | None = N
     return flat[: n - first * BLOCK] if last is None or last * BLOCK >= n else flat
 
 
-@cache
-def _encoder(path: str):
-    """The tokenizer, and the ids of pieces met so far as little-endian bytes."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
-    return tokenizer, known
-
-
-# A byte-level tokenizer never joins across these places: a space or line end
-# between two characters that are no white space. Texts in which white space meets
-# white space, or with control characters or unusual spaces, are encoded whole.
-_UNUSUAL = re.compile(
-    r"[ \n][ \n]|\A[ \n]|[ \n]\Z"
-    r"|[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
-)
+class _Encoder:
+    """A tokenizer, and the ids of pieces met lately as little-endian bytes.
 
+    Pieces are kept in two generations: when the young one is full it becomes the
+    old one, and a piece found there is young again. So memory is bounded and
+    frequent pieces stay.
+    """
 
-def _pieces(text: str) -> list[str]:
-    if _UNUSUAL.search(text):
-        return [text]
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        line_end = self._ids("\n")
+        # Pieces can be encoded apart only if the library itself cuts the text there.
+        self.separator = int(line_end[0]) if len(line_end) == 1 and self._cuts() else None
+
+    def _cuts(self) -> bool:
+        kind = type(self.tokenizer.pre_tokenizer).__name__
+        return kind == "ByteLevel" and self.tokenizer.normalizer is None and not (
+            self.tokenizer.pre_tokenizer.add_prefix_space
+        )
+
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, "<u4")
+
+    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of each piece; pieces are joined by line ends, whose id parts them again."""
+        for at in range(0, len(pieces), _JOINED):
+            some = pieces[at : at + _JOINED]
+            ids = self._ids("\n".join(some))
+            ends = (np.append(np.flatnonzero(ids == self.separator), len(ids)) * 4).tolist()
+            data, start = ids.tobytes(), 0
+            for end in ends:
+                yield data[start:end]
+                start = end + 4
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of the pieces not known yet become known; returns those of long ones."""
+        if len(self.young) > YOUNG_PIECES:
+            self.young, self.old = {}, self.young
+        missing = pieces - self.young.keys()
+        for p in missing & self.old.keys():
+            self.young[p] = self.old[p]
+        missing -= self.young.keys()
+        # A word and the marks after it are cut apart by the library, too.
+        cores = {}
+        for p in missing:
+            core = p.rstrip(_MARKS)
+            if core != p and core and core[-1].isalnum():
+                cores[p] = core
+        plain = (missing - cores.keys()) | set(cores.values()) | {p[len(c) :] for p, c in cores.items()}
+        plain = [p for p in plain if p not in self.young and p != "\n"]
+        found = dict(zip(plain, self._encode(plain)))
+        if "\n" in missing:
+            found["\n"] = np.array([self.separator], "<u4").tobytes()
+        both = {}
+        young = self.young
+        for p, core in cores.items():
+            tail = p[len(core) :]
+            both[p] = (found.get(core) or young[core]) + (found.get(tail) or young[tail])
+        both |= found
+        long = {p: v for p, v in both.items() if len(p) > 64}
+        for p in long:
+            del both[p]
+        young.update(both)
+        return long
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.separator is None:
+            return [self._ids(t).tobytes() for t in texts]
+        parts = [_pieces(t) for t in texts]
+        long = self.learn(set().union(*[p for p in parts if p is not None]))
+        young, out = self.young, []
+        for text, ps in zip(texts, parts):
+            if ps is None:
+                out.append(self._ids(text).tobytes())
+            elif long:
+                out.append(b"".join([young[p] if p in young else long[p] for p in ps]))
+            else:
+                out.append(b"".join(map(young.__getitem__, ps)))
+        return out
+
+
+_encoder = cache(_Encoder)
+
+
+def _pieces(text: str) -> list[str] | None:
+    """A text cut at spaces and line ends, or None if it has to be encoded whole.
+
+    A byte-level tokenizer never joins across a space or line end between two
+    characters that are no white space. Texts in which white space meets white
+    space, or with control characters or unusual spaces, are not cut.
+    """
+    if not text:
+        return []
+    if (
+        text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
+        or "\n\n" in text or not text.replace("\n", "").isprintable()
+    ):
+        return None
     return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers.
 
-    Every piece is encoded by the library, once for all its occurrences while it is
-    kept; the ids of a text are those of its pieces, one after the other.
+    Every piece is encoded by the library, once for its occurrences while it is kept;
+    the ids of a text are those of its pieces, one after the other.
     """
-    tokenizer, known = _encoder(path)
-    if len(known) > CACHED_PIECES:
-        known.clear()
-    parts = [_pieces(t) if t else [] for t in texts]
-    new = list({p for ps in parts for p in ps if p not in known})
-    own = {}
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        for piece, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            (known if len(piece) <= 64 else own)[piece] = np.array(e.ids, "<u4").tobytes()
-    if own:
-        return [b"".join([known[p] if p in known else own[p] for p in ps]) for ps in parts]
-    return [b"".join(map(known.__getitem__, ps)) for ps in parts]
+    return _encoder(path).encode(texts)
 
 
 def _frame(part: int, number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
