@@ -34,7 +34,7 @@ from absentia.sources.storage import settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -62,7 +62,8 @@ def _split(rows: DataFrame, *columns: Column) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, length (of its shingles), shingles (distinct), n, sketch."""
+    """item (digest of its words), item_id, length (of its shingles), shingles (distinct),
+    n, sketch."""
     split = _split(benchmark, F.col("item_id").cast("long"))
     split = split.where(F.size("w") > 0).groupBy("w").agg(F.min("item_id").alias("item_id"))
     length = F.least(F.size("w"), F.lit(SHINGLE))
@@ -74,14 +75,14 @@ def items_of(benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shingles = F.coalesce(*[F.when(c, s) for c, s, _ in cases])
     hashes = F.coalesce(*[F.when(c, h) for c, _, h in cases])
     own = split.withColumn("length", length).select(
-        "item_id", "length", shingles.alias("shingles"), hashes.alias("hashes")
+        F.md5(F.array_join("w", " ")).alias("item"), "item_id", "length", shingles.alias("shingles"), hashes.alias("hashes")
     )
     n = F.size("hashes")
     largest = F.pow(F.lit(2), F.floor(F.log2(n)) + 1) - 1
     # A little is added, so that no rounding makes a sketch too small.
     k = F.floor(largest * (1 - threshold) + 1e-9).cast("int") + 1
     return own.select(
-        "item_id", "length", "shingles", F.size("shingles").alias("n"),
+        "item", "item_id", "length", "shingles", F.size("shingles").alias("n"),
         F.slice(F.sort_array("hashes"), F.lit(1), F.least(k, n)).alias("sketch"),
     )
 
@@ -92,7 +93,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     items = settle(items_of(benchmark, threshold), "items")
     small = text_bytes(benchmark) <= BROADCAST_BYTES
     hint = F.broadcast if small else lambda t: t
-    sketches = hint(items.select("item_id", "length", F.explode("sketch").alias("hash")))
+    sketches = hint(items.select("item", "length", F.explode("sketch").alias("hash")))
     # At most SHINGLE lengths.
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
     split = _split(docs, F.col("doc_id").cast("long"), text_key().alias("key"))
@@ -100,7 +101,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     for n in lengths:
         own = split.select("doc_id", "key", F.explode(_hashes(F.col("w"), n)).alias("hash"))
         hits = own.join(sketches.where(F.col("length") == n).drop("length"), "hash")
-        hits = hits.groupBy("doc_id", "key").agg(F.collect_set("item_id").alias("items"))
+        hits = hits.groupBy("doc_id", "key").agg(F.collect_set("item").alias("items"))
         candidates = hits if candidates is None else candidates.unionByName(hits)
     if candidates is None:
         return split.where(F.lit(False)).select(
@@ -108,9 +109,9 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
             F.lit(0).alias("n_shingles"), F.lit(0.0).alias("containment"),
         )
     candidates = settle(candidates, "candidates").select(
-        F.col("doc_id").alias("cid"), F.col("key").alias("ckey"), F.explode("items").alias("item_id")
+        F.col("doc_id").alias("cid"), F.col("key").alias("ckey"), F.explode("items").alias("item")
     )
-    pairs = candidates.join(hint(items.drop("sketch")), "item_id").distinct()
+    pairs = candidates.join(hint(items.drop("sketch")), "item")
     keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("key") == F.col("ckey"))
     both = with_computed(keyed.join(pairs, same), {"w": words(F.col("text"))})
