@@ -184,4 +184,5 @@ FROM docs JOIN slots USING (src) WHERE j = (n // {mixing.BLOCK_DOCS}) % k"""
 def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
-    return cotraining.score(docs, model).drop("key")
+    scored = cotraining.score(docs, model).drop("key")
+    return scored.withColumn("kept", F.col("predicted") == 1)
