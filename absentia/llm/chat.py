@@ -32,6 +32,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from absentia.llm.texts import map_batches
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 
 # Control strings of the template and of public chat formats.
@@ -251,7 +253,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ordered = formatted.repartition("conv_id").sortWithinPartitions(
         "conv_id", "turn", "role_order", "piece"
     )
-    return ordered.select("conv_id", "piece", "loss_start", "loss_end").mapInArrow(
+    return map_batches(
+        ordered.select("conv_id", "piece", "loss_start", "loss_end"),
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
         "loss_sha256 string, formatted_chars long"
     )

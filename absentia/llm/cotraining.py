@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from absentia.llm.boosting import Boosted, boost
-from absentia.llm.texts import slices, text_key
+from absentia.llm.texts import map_batches, slices, text_key
 
 SAMPLE_DOCS = 12_000
 ROUNDS = 5
@@ -101,7 +101,7 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int):
                 [rows.column(0), pa.array(list(x)), pa.array(list(z))], names=["doc_id", "x", "z"]
             )
 
-    seen = some.mapInArrow(run, "doc_id long, x array<double>, z array<double>")
+    seen = map_batches(some, run, "doc_id long, x array<double>, z array<double>")
     both = seen.join(F.broadcast(own.limit(limit)), F.col("doc_id") == F.col("_id"), "left")
     # Sorted, so that the order of tasks does not matter.
     rows = sorted(both.select("doc_id", "y", "x", "z").collect(), key=lambda r: (r.doc_id, r.x))
@@ -214,7 +214,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"),
         text_key().alias("key"), held_out(F.col("doc_id")).alias("held_out"), "text",
     )
-    return source.mapInArrow(
+    return map_batches(
+        source,
         run, "doc_id long, key long, held_out boolean, text_score double, meta_score double, "
         "score double, predicted int",
     )

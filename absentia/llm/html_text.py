@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from absentia.llm.boosting import Boosted, boost
-from absentia.llm.texts import slices
+from absentia.llm.texts import map_batches, slices
 
 SAMPLE_PAGES = 200
 MIXED_COST = 0.05
@@ -394,4 +394,4 @@ def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
             )
 
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
-    return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(source, run, "page_id long, url string, text string, n_chars long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from absentia.llm.texts import slices
+from absentia.llm.texts import map_batches, slices
 from absentia.sources.storage import settle
 
 ORDER = 4
@@ -107,7 +107,7 @@ def count_grams(docs: DataFrame, column: str = "text") -> DataFrame:
                 [pa.array(grams[first].astype(np.int32)), pa.array(n)], names=["gram", "n"]
             )
 
-    counted = docs.select(column).mapInArrow(run, "gram int, n long")
+    counted = map_batches(docs.select(column), run, "gram int, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -272,7 +272,7 @@ def measure(docs: DataFrame, orders: list[Order]) -> DataFrame:
             )
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    return source.mapInArrow(run, _SCHEMA)
+    return map_batches(source, run, _SCHEMA)
 
 
 def judge(docs: DataFrame, reach: float = REACH) -> DataFrame:

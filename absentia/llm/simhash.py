@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from absentia.llm.components import components
-from absentia.llm.texts import slices, text_key, whole_row
+from absentia.llm.texts import map_batches, slices, text_key, whole_row
 from absentia.sources.storage import settle
 
 GROUPS = 6
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             )
 
     source = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text")
-    return source.mapInArrow(run, "doc_id long, key long, fp long")
+    return map_batches(source, run, "doc_id long, key long, fp long")
 
 
 def _unary(fp: Column) -> Column:

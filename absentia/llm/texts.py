@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -38,10 +43,29 @@ def slices(
             yield batch.slice(start), texts[start:]
 
 
-def to_batch(columns: dict[str, Sequence], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[n], type=t) for n, t in types.items()], names=list(types)
-    )
+@cache
+def _package(application: str) -> str:
+    """This package as an archive, made once for each application."""
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="absentia-"), "absentia.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Give workers this package: Spark hands the archive to every executor."""
+    context = spark.sparkContext
+    path = _package(context.applicationId)
+    if not any(f.endswith("/absentia.zip") for f in context.listFiles):
+        context.addPyFile(path)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow, with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

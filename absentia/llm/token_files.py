@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from absentia.llm.texts import slices, text_bytes, text_key
+from absentia.llm.texts import map_batches, slices, text_bytes, text_key
 from absentia.sources.storage import settle
 
 BLOCK = 128
@@ -281,7 +281,7 @@ def write_tokens(
         if ids:
             yield _frame(part, number, ids, done)
 
-    return settle(dealt.mapInArrow(run, _FRAMES_SQL), "tokens")
+    return settle(map_batches(dealt, run, _FRAMES_SQL), "tokens")
 
 
 _PACKED = ("minimum", "width", "n_exceptions", "starts", "packed", "exception_at", "exception_high")
@@ -309,7 +309,8 @@ def read_tokens(frames: DataFrame) -> DataFrame:
                     names=["part", "frame", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    decoded = frames.select("part", "frame", "n_tokens", "doc_id", "lengths", *_PACKED).mapInArrow(
+    decoded = map_batches(
+        frames.select("part", "frame", "n_tokens", "doc_id", "lengths", *_PACKED),
         run, "part int, frame int, doc_id long, inside long, n_tokens long, ids_crc32 long"
     )
     return decoded.join(_frame_starts(frames), ["part", "frame"]).select(

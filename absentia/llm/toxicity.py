@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from absentia.llm.texts import slices, text_key
+from absentia.llm.texts import map_batches, ship, slices, text_key
 from absentia.llm.transducers import Transducer, compose
 from absentia.sources.storage import settle
 
@@ -219,7 +219,8 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
                 names=["doc", "text", "toxic", "m1", "m2"],
             )
 
-    marked = own.select("doc", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
+    marked = map_batches(
+        own.select("doc", "text", F.col("toxic").cast("int").alias("toxic")),
         minima, "doc long, text string, toxic int, m1 long, m2 long"
     )
     single = marked.dropDuplicates(["m1"]).dropDuplicates(["m2"])
@@ -251,7 +252,8 @@ def _counts(sample: DataFrame) -> DataFrame:
                 [pa.array(parts, pa.string()), *columns], names=["part", "c0", "t0", "c1", "t1"]
             )
 
-    seen = sample.select("text", "toxic", "half").mapInArrow(
+    seen = map_batches(
+        sample.select("text", "toxic", "half"),
         run, "part string, c0 long, t0 long, c1 long, t1 long"
     )
     return seen.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
@@ -292,7 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
             )
 
     # At most `limit` rows of a few numbers.
-    rows = sample.where("half = 1").select("text", "toxic").mapInArrow(
+    rows = map_batches(
+        sample.where("half = 1").select("text", "toxic"),
         measured, "x array<double>, y int").collect()
     some = [r for r in rows if r.x]
     none = [r.y for r in rows if not r.x]
@@ -347,7 +350,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.col("doc_id").cast("long"), text_key().alias("key"),
         held_out(F.col("doc_id")).alias("held_out"), "text",
     )
-    return source.mapInArrow(
+    return map_batches(
+        source,
         run, "doc_id long, key long, held_out boolean, score double, predicted int"
     )
 
@@ -355,6 +359,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic; all columns as they came."""
     model = fit(docs, labels)
+    ship(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def toxic(text):
