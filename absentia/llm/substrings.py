@@ -44,6 +44,7 @@ MAX_LOG2_CELLS = 29
 MIN_LOG2_CELLS = 22
 LOG2_SEGMENT = 20
 ROWS = 2
+SKETCH_BYTES = 8 << 20
 PART_WINDOWS = 1_000_000
 BUCKET_BYTES = 2 << 20
 LEAST_PARTS = 48
@@ -108,11 +109,14 @@ def _cells(hashes: np.ndarray, log2_cells: int) -> list[np.ndarray]:
 
 
 def _deltas(values: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(values, prepend=values.dtype.type(0)).tobytes(), 1)
+    """Steps between sorted values, byte by byte: the high ones are mostly zero."""
+    steps = np.diff(values, prepend=values.dtype.type(0)).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _sums(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint32), dtype=np.uint32)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
 def _sketch(docs: DataFrame, window: int, log2_cells: int) -> np.ndarray:
@@ -120,7 +124,7 @@ def _sketch(docs: DataFrame, window: int, log2_cells: int) -> np.ndarray:
     segment_cells = 1 << LOG2_SEGMENT
 
     def partial(batches):
-        for _, texts in slices(batches, "text"):
+        for _, texts in slices(batches, "text", SKETCH_BYTES):
             found = _Slice(texts, window)
             if not len(found.hash):
                 continue
