@@ -305,14 +305,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
 
 
 def _lexicon(rows: list[tuple[str, float, int]]) -> Lexicon:
-    """Whole words, and those beginnings that stand for more than their commonest word."""
+    """Whole words, and those beginnings that stand for more than their commonest word
+    and more than any longer beginning."""
     words = {part[:-1]: (w, t) for part, w, t in rows if part.endswith(" ")}
-    beginnings = {}
-    for part, w, t in rows:
+    others = {part: (w, t) for part, w, t in rows if not part.endswith(" ")}
+
+    def stands(part: str, t: int) -> bool:
         own = max((n for word, (_, n) in words.items() if word.startswith(part)), default=0)
-        if not part.endswith(" ") and t >= 1.5 * own:
-            beginnings[part] = w
-    return Lexicon({word: w for word, (w, _) in words.items()}, beginnings)
+        longer = max((n for p, (_, n) in others.items() if p != part and p.startswith(part)), default=0)
+        return t >= 1.5 * own and t > 1.1 * longer
+
+    return Lexicon(
+        {word: w for word, (w, _) in words.items()},
+        {part: w for part, (w, t) in others.items() if stands(part, t)},
+    )
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
