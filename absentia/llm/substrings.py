@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from absentia.llm.texts import slices, text_bytes, text_key
+from absentia.llm.texts import map_batches, slices, text_bytes, text_key
 from absentia.sources.storage import settle
 
 MAX_LOG2_CELLS = 29
@@ -166,9 +166,9 @@ def _sketch(docs: DataFrame, window: int, log2_cells: int) -> np.ndarray:
         if now is not None:
             yield closed()
 
-    parts = docs.select("text").mapInArrow(partial, "segment int, once binary, more binary")
+    parts = map_batches(docs.select("text"), partial, "segment int, once binary, more binary")
     merged = parts.repartition("segment").sortWithinPartitions("segment")
-    merged = merged.mapInArrow(merge, "segment int, bits binary")
+    merged = map_batches(merged, merge, "segment int, bits binary")
     bits = np.zeros((1 << log2_cells) // 8, np.uint8)
     # At most 2 ** log2_cells bits in all, packed.
     for row in merged.collect():
@@ -315,9 +315,9 @@ def _marked_windows(docs: DataFrame, window: int, size: int) -> tuple[DataFrame,
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"),
         text_key().alias("key"), "text",
     )
-    found = own.mapInArrow(candidates, _PACKED_SQL)
+    found = map_batches(own, candidates, _PACKED_SQL)
     dealt = found.repartition("kind", "part").sortWithinPartitions("kind", "part")
-    return dealt.mapInArrow(exact, _PACKED_SQL), buckets
+    return map_batches(dealt, exact, _PACKED_SQL), buckets
 
 
 _OUT = {
@@ -370,14 +370,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = True) ->
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"),
         text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("data"),
-    ).mapInArrow(bucketed, "part int, doc long, key long, doc_id long, data binary")
+    )
+    texts = map_batches(texts, bucketed, "part int, doc long, key long, doc_id long, data binary")
     fields = ("part", "kind", "n", "data", "doc", "key", "doc_id")
     texts = texts.withColumns({"kind": F.lit(_TEXT), "n": F.lit(0)}).select(*fields)
     none = F.lit(None).cast("long")
     marks = marked.withColumns({"doc": none, "key": none, "doc_id": none}).select(*fields)
     dealt = marks.unionByName(texts).repartition("part").sortWithinPartitions("part", "kind")
     types = {pa.int64(): "long", pa.string(): "string"}
-    return dealt.mapInArrow(clean, ", ".join(f"{n} {types[t]}" for n, t in _OUT.items()))
+    return map_batches(dealt, clean, ", ".join(f"{n} {types[t]}" for n, t in _OUT.items()))
 
 
 def _unmark(data: bytes, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
