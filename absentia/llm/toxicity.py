@@ -18,8 +18,8 @@ half, become insults, weighted by their log odds; the logistic model is fitted o
 other half. Labels are the only thing learned from; lang, source and doc_id are no
 inputs of a score.
 
-Edge cases: null text is empty; a text without matches has the score that such
-texts had in the sample. Labels without a value are left out, several for a doc_id
+Edge cases: null text is empty; a text without matches has the least score, that of
+no clauses. Labels without a value are left out, several for a doc_id
 count as toxic if one says so. A null doc_id has the remainder 0. Without labels of
 both kinds nothing is toxic. An empty table gives no rows.
 """
@@ -141,7 +141,7 @@ class Lexicon:
 
 
 def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
-    """Best clause, all clauses, and sums by kind of match; None without a match."""
+    """Best clause, all clauses, and sums by kind of match; None (all zero) without one."""
     text = text.lower()
     words = set(_WORD.findall(text))
     weights = {w: s for w in words if (s := lexicon.weight(w)) > 0}
@@ -186,13 +186,11 @@ class Model:
     lexicon: Lexicon
     weights: np.ndarray
     bias: float
-    without: float
 
     def score(self, text: str) -> float:
         found = features(text, self.lexicon)
-        if found is None:
-            return self.without
-        return float(1 / (1 + np.exp(-np.clip(found @ self.weights + self.bias, -30, 30))))
+        odds = self.bias if found is None else found @ self.weights + self.bias
+        return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -270,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
              .agg(F.count("*").alias("n")).collect()}
     n = {(h, t): sizes.get((h, t), 0) for h in (0, 1) for t in (False, True)}
     if not (n[0, True] and n[0, False] and n[1, True] and n[1, False]):
-        return Model(Lexicon(), np.zeros(N_FEATURES), 0.0, 0.0)
+        return Model(Lexicon(), np.zeros(N_FEATURES), -30.0)
     odds = [_log_odds(F.col(f"t{h}"), F.col(f"c{h}"), n[h, True], n[h, False]) for h in (0, 1)]
     both = _log_odds(F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"),
                      n[0, True] + n[1, True], n[0, False] + n[1, False])
@@ -287,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
             xs, ys = [], []
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
                 found = features(text or "", lexicon)
-                xs.append([] if found is None else found.tolist())
+                xs.append([0.0] * N_FEATURES if found is None else found.tolist())
                 ys.append(int(toxic > 0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["x", "y"]
@@ -297,11 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
     rows = map_batches(
         sample.where("half = 1").select("text", "toxic"),
         measured, "x array<double>, y int").collect()
-    some = [r for r in rows if r.x]
-    none = [r.y for r in rows if not r.x]
-    without = (sum(none) + 0.5) / (len(none) + 1) if none else 0.0
-    weights, bias = _logistic(np.array([r.x for r in some]), np.array([r.y for r in some]))
-    return Model(lexicon, weights, bias, min(without, 0.49))
+    weights, bias = _logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
+    return Model(lexicon, weights, bias)
 
 
 def _lexicon(rows: list[tuple[str, float, int]]) -> Lexicon:
