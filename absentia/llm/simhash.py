@@ -134,11 +134,9 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     )
     crowded = full.where(F.col("n") > CROWDED).select("fp").distinct()
     near, far = distance // 2, distance - distance // 2
-    # For an odd distance a point also says from which side it was reached.
-    if near == far:
-        points = crowded.select("fp", F.explode(_ball(F.col("fp"), near)).alias("point"))
-    else:
-        points = crowded.select("fp", F.explode(_ball(F.col("fp"), far)).alias("point"))
+    points = crowded.select("fp", F.explode(_ball(F.col("fp"), far)).alias("point"))
+    if near < far:
+        # One bit apart: a fingerprint in another's neighbourhood.
         own = crowded.select(F.col("fp").alias("b"), F.col("fp").alias("point"))
         chained = points.join(own, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
         return pairs.unionByName(chained).distinct()
