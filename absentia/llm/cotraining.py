@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from absentia.llm.boosting import Boosted, boost
-from absentia.llm.texts import map_batches, slices, text_key
+from absentia.llm.texts import hash_share, map_batches, slices, text_key
 
 SAMPLE_DOCS = 12_000
 ROUNDS = 5
@@ -85,8 +85,7 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int):
     """Views and label (None: unlabelled) of at most `limit` documents, on the driver."""
     free = ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
     ids = docs.select(F.col("doc_id").cast("long")).where(free)
-    share = min(1.0, 0.9 * limit / max(ids.count(), 1))
-    chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000)) < int(share * 1_000_000)
+    chosen = hash_share(F.col("doc_id").cast("long"), ids.count(), int(0.9 * limit))
     own = labels.where(F.col("quality").isNotNull() & free & chosen)
     # The same share of the labels: about as many rows at most, each a few bytes.
     own = own.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("y"))

@@ -73,6 +73,13 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def hash_share(column: Column | str, rows: int, limit: int) -> Column:
+    """True for about `limit` of `rows` rows, by a hash of a column."""
+    whole = 1 << 40
+    share = int(min(1.0, limit / max(rows, 1)) * whole)
+    return F.pmod(F.xxhash64(column), F.lit(whole)) < share
+
+
 def text_key(column: str = "text") -> Column:
     """Tells rows of one id apart; null and empty text are alike."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from absentia.llm.texts import map_batches, ship, slices, text_key
+from absentia.llm.texts import hash_share, map_batches, ship, slices, text_key
 from absentia.llm.transducers import Transducer, compose
 from absentia.sources.storage import settle
 
@@ -202,10 +202,8 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     mine = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     mine = mine.where(~held_out(F.col("doc_id")))
     mine = mine.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max("toxic").alias("toxic"))
-    n = mine.count()
-    share = min(1.0, 0.95 * limit / max(n, 1))
-    place = F.pmod(F.xxhash64("doc"), F.lit(1_000_000))
-    chosen = F.broadcast(mine.where(place < int(share * 1_000_000)).limit(limit))
+    some = hash_share("doc", mine.count(), int(0.95 * limit))
+    chosen = F.broadcast(mine.where(some).limit(limit))
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(chosen, "doc")
 
     def minima(batches):
