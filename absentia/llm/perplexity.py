@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from absentia.llm.texts import map_batches, slices
 from absentia.sources.storage import settle
@@ -280,11 +280,19 @@ def judge(docs: DataFrame, reach: float = REACH) -> DataFrame:
     found = settle(measure(docs, train(docs)), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
-    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = found.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of")).agg(
-        quartiles.alias("q")
+    # Quartiles on a grid: exact on it whatever the order of rows, and at most as many
+    # rows for a language as the grid has points.
+    at = F.round("log_perplexity", 4).alias("at")
+    points = found.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of"), at).agg(
+        F.count("*").alias("n")
     )
-    low, high = F.col("q")[0], F.col("q")[1]
+    of = Window.partitionBy("of")
+    points = points.withColumns({"up_to": F.sum("n").over(of.orderBy("at")), "all": F.sum("n").over(of)})
+    bands = points.groupBy("of").agg(
+        F.min(F.when(4 * F.col("up_to") >= F.col("all"), F.col("at"))).alias("q1"),
+        F.min(F.when(4 * F.col("up_to") >= 3 * F.col("all"), F.col("at"))).alias("q3"),
+    )
+    low, high = F.col("q1"), F.col("q3")
     width = F.greatest(reach * (high - low), F.lit(LEAST))
     bands = bands.select("of", (low - width).alias("_low"), (high + width).alias("_high"))
     judged = found.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
