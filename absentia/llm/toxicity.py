@@ -219,8 +219,11 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
         own.select("doc", "text", F.col("toxic").cast("int").alias("toxic")),
         minima, "doc long, text string, toxic int, m1 long, m2 long"
     )
-    single = marked.dropDuplicates(["m1"]).dropDuplicates(["m2"])
-    return single.select("text", "toxic", F.pmod(F.xxhash64("m1", "m2"), F.lit(2)).alias("half"))
+    # The smallest doc_id stands for its copies.
+    for m, other in (("m1", "m2"), ("m2", "m1")):
+        first = F.min(F.struct("doc", other, "toxic", "text")).alias("first")
+        marked = marked.groupBy(m).agg(first).select(m, "first.*")
+    return marked.select("text", "toxic", F.pmod(F.xxhash64("m1", "m2"), F.lit(2)).alias("half"))
 
 
 def _least_shingles(text: bytes) -> tuple[int, int]:
@@ -233,30 +236,47 @@ def _least_shingles(text: bytes) -> tuple[int, int]:
     return int(hashes[:, 0].min()), int(hashes[:, 1].min())
 
 
-def _counts(sample: DataFrame) -> DataFrame:
-    """part, and in how many documents it is: toxic or not, of each half."""
+def _counts(sample: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
+    """part, n0, n1: in how many documents of either half it is; only parts in `wanted`
+    if that is given."""
 
     def run(batches):
-        for batch in batches:
-            found = [Counter() for _ in range(4)]
-            for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns)):
-                found[2 * half + (toxic > 0)].update(_word_parts(text or ""))
-            # Parts that no toxic document has can't be insults.
-            parts = list(found[1].keys() | found[3].keys())
-            columns = [pa.array([f[p] for p in parts], pa.int64()) for f in found]
+        for rows, texts in slices(batches, "text"):
+            found = Counter(), Counter()
+            for text, half in zip(texts, rows.column(1).to_pylist()):
+                parts = _word_parts(text.decode("utf-8", "replace"))
+                found[half].update(parts if wanted is None else parts & wanted)
+            parts = list(found[0].keys() | found[1].keys())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.string()), *columns], names=["part", "c0", "t0", "c1", "t1"]
+                [pa.array(parts, pa.string()), *[pa.array([f[p] for p in parts], pa.int64()) for f in found]],
+                names=["part", "n0", "n1"],
             )
 
-    seen = map_batches(
-        sample.select("text", "toxic", "half"),
-        run, "part string, c0 long, t0 long, c1 long, t1 long"
-    )
-    return seen.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
+    seen = map_batches(sample.select("text", "half"), run, "part string, n0 long, n1 long")
+    return seen.groupBy("part").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
 
+def _learn(sample: DataFrame, sizes: dict) -> Lexicon:
+    """Parts clearly more frequent in toxic texts of one half, confirmed in the other."""
+    often = _counts(sample.where("toxic > 0")).where("n0 >= 3 and n1 >= 2")
+    # Both tables are bounded by the sample.
+    toxic = {r.part: (r.n0, r.n1) for r in often.collect()}
+    rest = _counts(sample.where("toxic <= 0"), frozenset(toxic))
+    clean = {r.part: (r.n0, r.n1) for r in rest.collect()}
 
-def _log_odds(t: Column, c: Column, toxic: int, clean: int) -> Column:
-    return F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    def odds(t: int, c: int, of_toxic: int, of_clean: int) -> float:
+        return float(np.log((t + 0.5) / (of_toxic + 1)) - np.log((c + 0.5) / (of_clean + 1)))
+
+    rows = []
+    for part, (t0, t1) in sorted(toxic.items()):
+        c0, c1 = clean.get(part, (0, 0))
+        both = odds(t0 + t1, c0 + c1, sizes[0, True] + sizes[1, True], sizes[0, False] + sizes[1, False])
+        if (
+            odds(t0, c0, sizes[0, True], sizes[0, False]) >= 2.0
+            and odds(t1, c1, sizes[1, True], sizes[1, False]) >= 1.5 and both >= 3.0
+        ):
+            rows.append((part, both, t0 + t1))
+    return _lexicon(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
@@ -267,22 +287,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
     n = {(h, t): sizes.get((h, t), 0) for h in (0, 1) for t in (False, True)}
     if not (n[0, True] and n[0, False] and n[1, True] and n[1, False]):
         return Model(Lexicon(), np.zeros(N_FEATURES), -30.0)
-    odds = [_log_odds(F.col(f"t{h}"), F.col(f"c{h}"), n[h, True], n[h, False]) for h in (0, 1)]
-    both = _log_odds(F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"),
-                     n[0, True] + n[1, True], n[0, False] + n[1, False])
-    # Clear in one half, and confirmed in the other. What is left is a lexicon, far
-    # smaller than the sample.
-    chosen = _counts(sample).where("t0 >= 3 and t1 >= 2").where(
-        (odds[0] >= 2.0) & (odds[1] >= 1.5) & (both >= 3.0)
-    )
-    rows = chosen.select("part", both.alias("w"), (F.col("t0") + F.col("t1")).alias("t")).collect()
-    lexicon = _lexicon([(r.part, r.w, r.t) for r in rows])
+    lexicon = _learn(sample, n)
 
     def measured(batches):
-        for batch in batches:
+        for rows, texts in slices(batches, "text"):
             xs, ys = [], []
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                found = features(text or "", lexicon)
+            for text, toxic in zip(texts, rows.column(1).to_pylist()):
+                found = features(text.decode("utf-8", "replace"), lexicon)
                 xs.append([0.0] * N_FEATURES if found is None else found.tolist())
                 ys.append(int(toxic > 0))
             yield pa.RecordBatch.from_arrays(
