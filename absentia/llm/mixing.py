@@ -33,7 +33,7 @@ from absentia.llm.texts import text_key, whole_row
 
 PERIOD = 1024
 BLOCK_DOCS = 64
-_GROUP_ROWS = 5_000
+_GROUP_ROWS = 1_000
 
 
 def shares(docs: DataFrame, weights: Mapping[str, int] | None = None) -> DataFrame:
