@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from absentia.llm.boosting import Boosted, boost
-from absentia.llm.texts import map_batches, slices
+from absentia.llm.texts import hash_share, map_batches, slices
 
 SAMPLE_PAGES = 200
 MIXED_COST = 0.05
@@ -366,9 +366,11 @@ def _other_layout(html: str, rng: random.Random) -> str | None:
 
 def train(pages: DataFrame, limit: int = SAMPLE_PAGES) -> Boosted:
     """Trees from at most `limit` pages, on the driver."""
-    chosen = pages.where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "html")
+    # Twice as many by hash first, so that no task sends many.
+    some = pages.where(F.col("html").isNotNull() & hash_share("page_id", pages.count(), 2 * limit))
+    chosen = some.orderBy(F.xxhash64("page_id"), "html").select("html").limit(limit)
     rng, xs, ys = random.Random(0), [], []
-    for row in chosen.select("html").limit(limit).collect():
+    for row in chosen.collect():
         for text in (row.html, _other_layout(row.html, rng), _other_layout(row.html, rng)):
             if text is not None:
                 page = parse(text)
