@@ -6,7 +6,8 @@ siblings, and of its ancestors. Boosted trees give its log odds of being content
 Decoding gives every element one of three states: main (its text counts), mixed (a
 container without text of its own) or out. Below out all is out, below main all is
 main or out; of all assignments that obey this the one with the largest sum of log
-odds is taken, so no element is kept inside a rejected one.
+odds is taken, so no element is kept inside a rejected one. Inline elements (links,
+emphasis) go with the block they are in.
 
 Training, at most `SAMPLE_PAGES` pages, chosen by a hash of page_id: elements are
 labelled by the semantic markup around them; the same articles set into other page
@@ -244,12 +245,14 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
     # A container costs a little, so that nothing is one for its own sake.
     best[:, _MIXED] = np.where(has_text, -np.abs(odds), 0.0) - MIXED_COST
     best[0] = (-1e9, 0.0, -1e9)
+    # Inline elements of a main block go with it, unless their attributes speak against it.
+    goes_along = [x.tag in _INLINE and not x.other for x in e]
     for i in range(n - 1, 0, -1):
         p = e[i].parent
         out, mixed, main = best[i]
         best[p, _OUT] += out
         best[p, _MIXED] += max(out, mixed, main)
-        best[p, _MAIN] += max(out, main)
+        best[p, _MAIN] += main - odds[i] if goes_along[i] else max(out, main)
     state = np.zeros(n, np.int64)
     state[0] = _MIXED
     for i in range(1, n):
@@ -258,7 +261,7 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
         if above == _MIXED:
             state[i] = int(np.argmax(best[i]))
         elif above == _MAIN:
-            state[i] = _MAIN if main > out else _OUT
+            state[i] = _MAIN if goes_along[i] or main > out else _OUT
     return state
 
 

@@ -46,7 +46,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <div class="cookie-notice"><p>We use cookies</p></div><header><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div id="content"><h1>Head &amp; line</h1><p>First   part<br>goes <b>on</b>&nbsp;here, long enough to be read.
-<p>Second &lt;part&gt; of the text that goes on for a while.<script>var t="</p>";</script>
+<p>Second &lt;part&gt; of the <a href="/x">text that goes</a> on for a while.<script>var t="</p>";</script>
 <ul><li>item one of a list<li>item two of a list</ul><!-- gone --><div class="ad">Buy this now</div></div>
 <aside><p>Side words</p></aside><section class="comments"><p>I disagree with you</p></section>
 <footer>&copy; Site</footer></body>"""
@@ -92,7 +92,11 @@ def test_decoding_is_the_best_of_all():
                 above = state[page.elements[i].parent]
                 if above == 0 and state[i] != 0 or above == 2 and state[i] == 1:
                     return -np.inf
-                total += (-odds[i], -html_text.MIXED_COST - (abs(odds[i]) if i in text else 0), odds[i])[state[i]]
+                own = (-odds[i], -html_text.MIXED_COST - (abs(odds[i]) if i in text else 0), odds[i])
+                along = above == 2 and page.elements[i].tag == "i"
+                if along and state[i] != 2:
+                    return -np.inf
+                total += 0.0 if along else own[state[i]]
             return total
 
         most = max(value((1, *s)) for s in product(range(3), repeat=n - 1))
