@@ -55,7 +55,7 @@ _OTHER_TOKENS = frozenset(
     "login masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification "
     "overlay pager pagination popup promo promoted promotion recommended related replies reply respond "
     "responses search share sharing side sidebar signup skip social sponsor sponsored subscribe tags "
-    "teaser toolbar topbar widget widgets".split()
+    "teaser toolbar top topbar logo brand widget widgets".split()
 )
 _KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "td": 4, "th": 4,
           "blockquote": 1, "pre": 1, "ul": 5, "ol": 5, "table": 5}
