@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,23 +45,18 @@ MAX_LOG2_CELLS = 29
 MIN_LOG2_CELLS = 22
 LOG2_SEGMENT = 20
 ROWS = 2
-SKETCH_BYTES = 8 << 20
+SKETCH_BYTES = 6 << 20
 PART_WINDOWS = 1_000_000
 BUCKET_BYTES = 2 << 20
 LEAST_PARTS = 48
 _NULL_ID = -(1 << 63)
-_BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _powers(k: int) -> np.ndarray:
-    return np.array([pow(int(b), k, 1 << 64) for b in _BASES], np.uint64)
-
-
-def _window_hashes(words: list[bytes], window: int) -> np.ndarray:
-    """Two 64-bit sums for the window at each place; by doubling, so that a window of
+def _window_sums(hashes: np.ndarray, base: int, window: int) -> np.ndarray:
+    """The weighted sum over the window at each place; by doubling, so that a window of
     20 takes six steps."""
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
     total, size, run, length = None, 0, hashes, 1
     left = window
     while left:
@@ -69,16 +65,20 @@ def _window_hashes(words: list[bytes], window: int) -> np.ndarray:
                 total = run
             else:
                 n = len(run) - size
-                total = total[:n] + _powers(size) * run[size : size + n]
+                total = total[:n] + _power(base, size) * run[size : size + n]
             size += length
         left >>= 1
         if left:
             n = len(run) - length
-            run = run[:n] + _powers(length) * run[length : length + n]
+            run = run[:n] + _power(base, length) * run[length : length + n]
             length *= 2
     return total
 
 
+def _power(base: int, k: int) -> np.uint64:
+    return np.uint64(pow(base, k, 1 << 64))
+
+
 class _Slice:
     """The windows of a run of texts: their fingerprints, document and start."""
 
@@ -90,16 +90,21 @@ class _Slice:
             self.hash = np.zeros((0, 2), np.uint64)
             self.doc = self.start = np.zeros(0, np.int64)
             return
-        hashes = _window_hashes([w for ws in split for w in ws], window)
+        digests = b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(split)))
+        del split
+        words = np.frombuffer(digests, np.uint64).reshape(-1, 2)
         count = np.maximum(size - window + 1, 0)
         self.doc = np.repeat(np.arange(len(size)), count)
         self.start = np.arange(len(self.doc)) - np.repeat(np.cumsum(count) - count, count)
-        h = hashes[first[self.doc] + self.start]
-        # Sums of odd multiples leave their low bits weak; mixing spreads the high ones.
-        h ^= h >> np.uint64(32)
-        h *= _MIX
-        h ^= h >> np.uint64(29)
-        self.hash = h
+        place = first[self.doc] + self.start
+        self.hash = np.empty((len(place), 2), np.uint64)
+        for r, base in enumerate(_BASES):
+            h = _window_sums(np.ascontiguousarray(words[:, r]), base, window)[place]
+            # Sums of odd multiples leave their low bits weak; mixing spreads the high ones.
+            h ^= h >> np.uint64(32)
+            h *= _MIX
+            h ^= h >> np.uint64(29)
+            self.hash[:, r] = h
 
 
 def _cells(hashes: np.ndarray, log2_cells: int) -> list[np.ndarray]:
