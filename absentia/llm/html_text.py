@@ -64,7 +64,8 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# One attribute after the other, each with its value, so that values are never names.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -88,7 +89,8 @@ class Page:
     pieces: list[tuple[int, str | None]]
 
 
-def parse(html: str) -> Page:
+def parse(html: str, mark: str | None = None) -> Page:
+    """mark: the attribute that holds training marks, if the page has any."""
     elements = [Element("#page", -1, 0)]
     pieces: list[tuple[int, str | None]] = []
     now, at, known = 0, 0, {}
@@ -146,7 +148,7 @@ def parse(html: str) -> Page:
         if raw and not raw.isspace():
             found = known.get(raw)
             if found is None:
-                found = known[raw] = _tokens(raw)
+                found = known[raw] = _tokens(raw, mark)
             content, other, marked = found
         else:
             content, other, marked = 0, 0, -1
@@ -159,18 +161,18 @@ def parse(html: str) -> Page:
     return Page(elements, pieces)
 
 
-def _tokens(raw: str) -> tuple[int, int, int]:
+def _tokens(raw: str, mark: str | None = None) -> tuple[int, int, int]:
     """Tokens of class, id and role for content and against it; a training mark."""
     content = other = 0
     marked = -1
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         value = a or b or c
-        if name.lower() == "y":
-            marked = int(value)
-            continue
-        words = {w.lower() for w in _TOKEN.findall(value)}
-        content += len(words & _CONTENT_TOKENS)
-        other += len(words & _OTHER_TOKENS)
+        if name == mark:
+            marked = int(value == "1")
+        elif name.lower() in ("class", "id", "role"):
+            words = {w.lower() for w in _TOKEN.findall(value)}
+            content += len(words & _CONTENT_TOKENS)
+            other += len(words & _OTHER_TOKENS)
     return content, other, marked
 
 
@@ -322,8 +324,16 @@ def _labels(page: Page) -> np.ndarray:
 _ARTICLE = re.compile(r"<article\b[^>]*>(.*?)</article>", re.S | re.I)
 
 
-def _other_layout(html: str, rng: random.Random) -> str | None:
-    """The article of a page within another layout, marked."""
+def _mark_for(html: str) -> str:
+    """A name for training marks that the page itself has nowhere."""
+    mark = "y"
+    while mark in html:
+        mark += "y"
+    return mark
+
+
+def _other_layout(html: str, rng: random.Random, mark: str = "y") -> str | None:
+    """The article of a page within another layout, marked by the attribute `mark`."""
     found = _ARTICLE.search(html)
     if not found:
         return None
@@ -338,7 +348,7 @@ def _other_layout(html: str, rng: random.Random) -> str | None:
 
     def box(choices: list[str], inner: str) -> str:
         tag, _, attributes = rng.choice(choices).partition(" ")
-        return f'<{tag} {attributes} y="0">{inner}</{tag}>'
+        return f'<{tag} {attributes} {mark}="0">{inner}</{tag}>'
 
     def maybe(text: str, chance: float = 0.6) -> str:
         return text if rng.random() < chance else ""
@@ -358,7 +368,7 @@ def _other_layout(html: str, rng: random.Random) -> str | None:
         "article", "main", 'div class="post-content"', 'div id="content"', 'section class="entry"',
         'div class="story"', "div",
     ]).partition(" ")
-    middle = f'<{tag} {attributes} y="1">{body}{inside}</{tag}>'
+    middle = f'<{tag} {attributes} {mark}="1">{body}{inside}</{tag}>'
     if rng.random() < 0.4:
         middle = f"<div>{middle}{maybe(side)}{maybe(talk, 0.3)}</div>"
     return (
@@ -374,9 +384,11 @@ def train(pages: DataFrame, limit: int = SAMPLE_PAGES) -> Boosted:
     chosen = some.orderBy(F.xxhash64("page_id"), "html").select("html").limit(limit)
     rng, xs, ys = random.Random(0), [], []
     for row in chosen.collect():
-        for text in (row.html, _other_layout(row.html, rng), _other_layout(row.html, rng)):
+        mark = _mark_for(row.html)
+        others = [_other_layout(row.html, rng, mark) for _ in range(2)]
+        for text, name in ((row.html, None), *((o, mark) for o in others)):
             if text is not None:
-                page = parse(text)
+                page = parse(text, name)
                 y = _labels(page)
                 xs.append(features(page)[y >= 0])
                 ys.append(y[y >= 0])

@@ -122,3 +122,17 @@ def test_odd_rows(spark, pages):
     assert html_text.main_text(frame.where("false")).count() == 0
     assert html_text.train(frame.where("false")).trees == []
     assert html_text.extract("<p>x</p>", Boosted(0.0, [])) == ""
+
+
+def test_values_and_real_attributes_are_no_marks(spark):
+    """Training reads such pages; none of them may end the query or override its labels."""
+    tags = ['<a href="/map?x=1&y=2">', '<p data-y="50%">', '<rect y="12.5">', "<i title='id=nav y=x'>"]
+    for tag in tags:
+        raw = tag[tag.index(" "):-1]
+        assert html_text._tokens(raw) == (0, 0, -1)
+        assert html_text._tokens(raw, "yy") == (0, 0, -1)
+    assert html_text._tokens(' class="x"yy="1" id=menu', "yy") == (0, 1, 1)
+    body = "".join(f"{t}Some words of the article, long enough to count.</p>" for t in tags)
+    page = f'<body><nav y="1"><a href="/">Home</a></nav><article>{body}</article></body>'
+    frame = spark.createDataFrame([(i, "u", page) for i in range(4)], "page_id long, url string, html string")
+    assert all("Home" not in r.text and "Some words" in r.text for r in html_text.main_text(frame).collect())
