@@ -66,6 +66,8 @@ _MARKUP = re.compile(
 )
 # One attribute after the other, each with its value, so that values are never names.
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# A slash at the end that is not part of a value without quotes.
+_SELF_CLOSED = re.compile(r"(?<!\S)/\s*\Z|[\"']/\s*\Z|(?:\A|\s)[^\s=\"']*/\s*\Z")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -112,9 +114,8 @@ def parse(html: str, mark: str | None = None) -> Page:
             node = elements[node].parent
         return None
 
-    for m in _MARKUP.finditer(html):
-        if m.start() < at:
-            continue
+    # Always from the end of what was read, so that nothing in a raw element begins a tag.
+    while (m := _MARKUP.search(html, at)) is not None:
         if m.start() > at:
             pieces.append((now, html[at : m.start()]))
         at = m.end()
@@ -131,7 +132,18 @@ def parse(html: str, mark: str | None = None) -> Page:
             pieces.append((now, " " if name in _INLINE else None))
             continue
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>?", re.I).search(html, at)
+            if name == "svg" and _SELF_CLOSED.search(m.group(3)):
+                continue
+            if name == "option":
+                # Ended by itself, by the next one, or with an element around it.
+                around, node = {"datalist", "select"}, now
+                while node > 0:
+                    around.add(elements[node].tag)
+                    node = elements[node].parent
+                ends = "|".join(map(re.escape, sorted(around)))
+                end = re.compile(rf"</option\s*>?|(?=<option\b|<optgroup\b|</(?:optgroup|{ends})[\s/>])", re.I).search(html, at)
+            else:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
         if name not in _INLINE:

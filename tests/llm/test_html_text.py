@@ -136,3 +136,25 @@ def test_values_and_real_attributes_are_no_marks(spark):
     page = f'<body><nav y="1"><a href="/">Home</a></nav><article>{body}</article></body>'
     frame = spark.createDataFrame([(i, "u", page) for i in range(4)], "page_id long, url string, html string")
     assert all("Home" not in r.text and "Some words" in r.text for r in html_text.main_text(frame).collect())
+
+
+def _plain(page):
+    parsed = html_text.parse(page)
+    return [e.tag for e in parsed.elements], html_text.text_of(parsed, [True] * len(parsed.elements))
+
+
+def test_tags_are_read_on_from_the_end_of_raw_elements():
+    page = ("<script>if (a <b) { // don't\n}</script><article><p>It is one.</p>"
+            "<p>We don't know.</p></article>")
+    assert _plain(page) == (["#page", "article", "p", "p"], "It is one.\nWe don't know.")
+
+
+@pytest.mark.parametrize("raw", [
+    "<svg/>", '<svg class="x"/>', "<svg hidden/>", '<svg viewBox="0 0 1 1" />', "<svg a=0/>drawn</svg>",
+    "<svg><path d='M0 0'/></svg>", "<datalist><option value=a><option value=b>hidden</datalist>",
+    "<datalist><option>hidden</option><option>hidden</datalist>",
+])
+def test_raw_elements_end_where_they_do(raw):
+    tags, text = _plain(f"<div>{raw}<p>One of two.</p></div><p>Two of two.</p><svg></svg>")
+    assert text == "One of two.\nTwo of two."
+    assert [x for x in tags if x != "datalist"] == ["#page", "div", "p", "p"]
