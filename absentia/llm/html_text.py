@@ -9,9 +9,13 @@ main or out; of all assignments that obey this the one with the largest sum of l
 odds is taken, so no element is kept inside a rejected one. Inline elements (links,
 emphasis) go with the block they are in.
 
-Training, at most `SAMPLE_PAGES` pages, chosen by a hash of page_id: elements are
-labelled by the semantic markup around them; the same articles set into other page
-layouts, with the labels known, keep the trees from leaning on one layout.
+Training, at most `SAMPLE_PAGES` pages: layouts (the containers of a page with their
+attributes) are counted over all pages; the commonest are in the sample, each by its
+share and once at least. Elements are labelled by the semantic markup around them; where
+a page has none, by attribute tokens for content, else by the block with most text in
+paragraphs. The same content set into other page layouts, with the labels known, keeps
+the trees from leaning on one layout. If no page gives labels of both kinds, invented
+content in such layouts takes their place.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks follow each other by line ends. Scripts, styles, comments and markup
@@ -31,15 +35,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from absentia.llm.boosting import Boosted, boost
-from absentia.llm.texts import hash_share, map_batches, slices
+from absentia.llm.texts import map_batches, slices
+from absentia.sources.storage import settle
 
 SAMPLE_PAGES = 200
 MIXED_COST = 0.05
+# Characters of paragraphs that make a block content by themselves, and how many layouts
+# of invented content stand in for labels.
+DENSE_CHARS = 140
+INVENTED_PAGES = 100
 
 # Element names and attribute tokens of the web.
+_CONTAINERS = r"(?i)<((?:body|main|article|section|div|nav|header|footer|aside|form|table)\b[^>]*)>"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg select option".split())
 _INLINE = frozenset(
@@ -79,6 +89,8 @@ class Element:
     content: int = 0
     other: int = 0
     marked: int = -1
+    # Where it is in the page: its tag's start and end, its content's end, its own end.
+    span: list[int] = field(default_factory=lambda: [0, 0, -1, -1])
     children: list[int] = field(default_factory=list)
 
 
@@ -97,9 +109,11 @@ def parse(html: str, mark: str | None = None) -> Page:
     pieces: list[tuple[int, str | None]] = []
     now, at, known = 0, 0, {}
 
-    def close(to: int):
+    def close(to: int, start: int, end: int):
+        """Up to `to`; the outermost one closed ends at `end`, behind its end tag."""
         nonlocal now
         while now != to:
+            elements[now].span[2:] = start, end if elements[now].parent == to else start
             if elements[now].tag not in _INLINE:
                 pieces.append((now, None))
             now = elements[now].parent
@@ -126,7 +140,7 @@ def parse(html: str, mark: str | None = None) -> Page:
         if m.group(1):
             found = nearest((name,))
             if found is not None:
-                close(elements[found].parent)
+                close(elements[found].parent, m.start(), at)
             continue
         if name in _VOID:
             pieces.append((now, " " if name in _INLINE else None))
@@ -149,12 +163,12 @@ def parse(html: str, mark: str | None = None) -> Page:
         if name not in _INLINE:
             # A block ends an open paragraph; items and cells end their like.
             if (open_p := nearest(("p",), ("table", "li", "div", "section"))) is not None:
-                close(elements[open_p].parent)
+                close(elements[open_p].parent, m.start(), m.start())
             like = {"li": (("li",), ("ul", "ol")), "td": (("td", "th"), ("tr", "table")),
                     "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)),
                     "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",))}.get(name)
             if like and (same := nearest(*like)) is not None:
-                close(elements[same].parent)
+                close(elements[same].parent, m.start(), m.start())
             pieces.append((now, None))
         raw = m.group(3)
         if raw and not raw.isspace():
@@ -164,12 +178,13 @@ def parse(html: str, mark: str | None = None) -> Page:
             content, other, marked = found
         else:
             content, other, marked = 0, 0, -1
-        child = Element(name, now, elements[now].depth + 1, content, other, marked)
+        child = Element(name, now, elements[now].depth + 1, content, other, marked, [m.start(), m.end(), -1, -1])
         elements[now].children.append(len(elements))
         elements.append(child)
         now = len(elements) - 1
     if at < len(html):
         pieces.append((now, html[at:]))
+    close(0, len(html), len(html))
     return Page(elements, pieces)
 
 
@@ -316,23 +331,87 @@ def extract_all(pages: list[str], model: Boosted) -> list[str]:
 
 # Training.
 
+def _speaks_against(x: Element) -> bool:
+    return x.tag in _OTHER_TAGS or (x.other > 0 and x.tag not in _CONTENT_TAGS)
+
+
+def _content_roots(page: Page) -> set[int]:
+    """Elements that hold the content: by their names, else by their attributes, else the
+    block with most text in its own paragraphs."""
+    e = page.elements
+    n = len(e)
+    out, own, prose, beyond_links = np.zeros(n, bool), np.zeros(n), np.zeros(n), np.ones(n, bool)
+    for i, x in enumerate(e[1:], 1):
+        out[i] = out[x.parent] or _speaks_against(x)
+        beyond_links[i] = beyond_links[x.parent] and x.tag != "a"
+    named = {i for i, x in enumerate(e) if x.tag in _CONTENT_TAGS and not out[i]}
+    if named:
+        return named
+    for node, text in page.pieces:
+        if text is not None and beyond_links[node]:
+            own[node] += len(text) - text.count(" ")
+    for i in range(n - 1, 0, -1):
+        own[e[i].parent] += own[i] if e[i].tag in _INLINE else 0
+    # Text in paragraphs: of a block's own, and of all below it.
+    below = np.zeros(n)
+    for i in range(n - 1, 0, -1):
+        if _KINDS.get(e[i].tag) in (1, 2) and not out[i]:
+            prose[e[i].parent] += own[i]
+            below[i] += own[i]
+        below[e[i].parent] += 0 if out[i] else below[i]
+    able = [i for i, x in enumerate(e) if i and not out[i] and x.tag not in ("html", "body")
+            and x.tag not in _INLINE]
+    told = [i for i in able if e[i].content > 0 and below[i] > 0]
+    if told:
+        most = max(below[i] for i in told)
+        return {i for i in told if 2 * below[i] >= most}
+    dense = max((i for i in range(n) if not out[i]), key=lambda i: (prose[i], -i))
+    if prose[dense] < DENSE_CHARS:
+        return set()
+    # Paragraphs right below the body are content, not all else that is there.
+    if dense in able:
+        return {dense}
+    return {c for c in e[dense].children if _KINDS.get(e[c].tag) in (1, 2) and not out[c]}
+
+
 def _labels(page: Page) -> np.ndarray:
-    """1 in content, 0 out of it, -1 unknown: by marks, else by semantic markup."""
+    """1 in content, 0 out of it, -1 unknown: by marks, else by what the page tells."""
     e = page.elements
     out = np.full(len(e), -1)
     marks = any(x.marked >= 0 for x in e)
+    roots = set() if marks else _content_roots(page)
     for i, x in enumerate(e[1:], 1):
         if marks:
             own = x.marked
-        elif x.tag in _OTHER_TAGS or (x.other and x.tag not in _CONTENT_TAGS):
-            own = 0
         else:
-            own = 1 if x.tag in _CONTENT_TAGS else -1
+            own = 0 if _speaks_against(x) else 1 if i in roots else -1
         above = out[x.parent]
         out[i] = 0 if above == 0 else own if own >= 0 else above
     return out
 
 
+def _content(html: str) -> str | None:
+    """The markup of a page's content, without what is labelled as none."""
+    found = _ARTICLE.search(html)
+    if found:
+        return found.group(1)
+    page = parse(html)
+    e, y = page.elements, _labels(page)
+    parts = []
+    for i, x in enumerate(e[1:], 1):
+        if y[i] == 1 and y[x.parent] != 1:
+            paragraph = _KINDS.get(x.tag) in (1, 2)
+            at, end = (x.span[0], x.span[3]) if paragraph else (x.span[1], x.span[2])
+            for j in range(i + 1, len(e)):
+                if e[j].span[0] >= end:
+                    break
+                if y[j] == 0 and y[e[j].parent] == 1:
+                    parts.append(html[at : e[j].span[0]])
+                    at = e[j].span[3]
+            parts.append(html[at:end])
+    return "".join(parts) if parts else None
+
+
 _ARTICLE = re.compile(r"<article\b[^>]*>(.*?)</article>", re.S | re.I)
 
 
@@ -345,11 +424,20 @@ def _mark_for(html: str) -> str:
 
 
 def _other_layout(html: str, rng: random.Random, mark: str = "y") -> str | None:
-    """The article of a page within another layout, marked by the attribute `mark`."""
-    found = _ARTICLE.search(html)
-    if not found:
-        return None
-    body = found.group(1)
+    """The content of a page within another layout, marked by the attribute `mark`."""
+    body = _content(html)
+    return None if body is None else _layout(body, rng, mark)
+
+
+def _invented(rng: random.Random) -> str:
+    """A heading and paragraphs of words that mean nothing."""
+    def some(a: int, b: int) -> str:
+        return " ".join("x" * rng.randint(2, 9) for _ in range(rng.randint(a, b)))
+
+    return f"<h1>{some(2, 8)}</h1>" + "".join(f"<p>{some(10, 90)}.</p>" for _ in range(rng.randint(2, 12)))
+
+
+def _layout(body: str, rng: random.Random, mark: str) -> str:
     words = re.sub(r"<[^>]*>", " ", body).split() or ["x"]
 
     def some(a: int, b: int) -> str:
@@ -389,23 +477,57 @@ def _other_layout(html: str, rng: random.Random, mark: str = "y") -> str | None:
     )
 
 
+def _sample(pages: DataFrame, limit: int) -> list[str]:
+    """At most `limit` different pages, of the commonest layouts, each by its share."""
+    own = pages.where(F.col("html").isNotNull()).withColumn("h", F.xxhash64("page_id", "html"))
+    tags = F.regexp_extract_all(F.col("html"), F.lit(_CONTAINERS), 1)
+    # Numbers in attributes are those of the page, not of its layout.
+    tags = F.array_sort(F.array_distinct(F.transform(tags, lambda t: F.regexp_replace(t, "[0-9]+", ""))))
+    prints = settle(own.select(F.xxhash64(F.array_join(tags, " ")).alias("layout"), "h"), "layouts")
+    sizes = prints.groupBy("layout").agg(F.count("*").alias("n"))
+    top = sizes.orderBy(F.desc("n"), "layout").limit(limit).collect()
+    if not top:
+        return []
+    free, every = limit - len(top), sum(r.n for r in top)
+    # Whole parts of what is left after one each; the commonest first get the rest.
+    quota = {r.layout: 1 + free * r.n // every for r in top}
+    for r in top[: limit - sum(quota.values())]:
+        quota[r.layout] += 1
+    # More by hash first, so that no task ranks many.
+    thin = [(r.layout, quota[r.layout], int(min(1.0, (2 * quota[r.layout] + 20) / r.n) * (1 << 40))) for r in top]
+    spark = pages.sparkSession
+    few = spark.createDataFrame(thin, "layout long, quota long, share long")
+    ranked = prints.join(F.broadcast(few), "layout").where(F.pmod("h", F.lit(1 << 40)) < F.col("share")).distinct()
+    rank = F.row_number().over(Window.partitionBy("layout").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    chosen = [r.h for r in ranked.withColumn("rank", rank).where("rank <= quota").select("h").collect()]
+    wanted = F.broadcast(spark.createDataFrame([(h,) for h in chosen], "h long"))
+    found = own.select("h", "html").join(wanted, "h").dropDuplicates(["h"]).collect()
+    return [r.html for r in sorted(found, key=lambda r: (r.h, r.html))]
+
+
 def train(pages: DataFrame, limit: int = SAMPLE_PAGES) -> Boosted:
     """Trees from at most `limit` pages, on the driver."""
-    # Twice as many by hash first, so that no task sends many.
-    some = pages.where(F.col("html").isNotNull() & hash_share("page_id", pages.count(), 2 * limit))
-    chosen = some.orderBy(F.xxhash64("page_id"), "html").select("html").limit(limit)
     rng, xs, ys = random.Random(0), [], []
-    for row in chosen.collect():
-        mark = _mark_for(row.html)
-        others = [_other_layout(row.html, rng, mark) for _ in range(2)]
-        for text, name in ((row.html, None), *((o, mark) for o in others)):
-            if text is not None:
-                page = parse(text, name)
-                y = _labels(page)
-                xs.append(features(page)[y >= 0])
-                ys.append(y[y >= 0])
-    if not xs:
+
+    def learn(html: str, mark: str | None):
+        page = parse(html, mark)
+        y = _labels(page)
+        xs.append(features(page)[y >= 0])
+        ys.append(y[y >= 0])
+
+    chosen = _sample(pages, limit)
+    for html in chosen:
+        mark = _mark_for(html)
+        others = [_other_layout(html, rng, mark) for _ in range(2)]
+        learn(html, None)
+        for other in others:
+            if other is not None:
+                learn(other, mark)
+    if not chosen:
         return Boosted(0.0, [])
+    if len(set(np.concatenate(ys))) < 2:
+        for _ in range(INVENTED_PAGES):
+            learn(_layout(_invented(rng), rng, "y"), "y")
     return boost(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 

@@ -158,3 +158,37 @@ def test_raw_elements_end_where_they_do(raw):
     tags, text = _plain(f"<div>{raw}<p>One of two.</p></div><p>Two of two.</p><svg></svg>")
     assert text == "One of two.\nTwo of two."
     assert [x for x in tags if x != "datalist"] == ["#page", "div", "p", "p"]
+
+
+WORDS = "Words of this story go on for long enough to be a paragraph of their own"
+PLAIN = ('<html><body><div class="menu"><ul><li><a href="/">Home</a></li></ul></div>{0}'
+         '<div class="footer"><p>All rights reserved</p></div></body></html>')
+LAYOUTS = ['<div id="content">{0}</div>', '<div role="main">{0}</div>', "<div>{0}</div>", "{0}", "<main>{0}</main>"]
+
+
+def _story(i):
+    return "".join(f"<p>{WORDS}, {i} and {j}.</p>" for j in range(4)), "\n".join(
+        f"{WORDS}, {i} and {j}." for j in range(4))
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_tables_without_an_article(spark, layout):
+    rows = [(i, "u", PLAIN.format(layout.format(_story(i)[0]))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(frame).collect()}
+    assert got == {i: _story(i)[1] for i in range(40)}
+
+
+def test_labels_of_one_kind_only(spark):
+    frame = spark.createDataFrame([(1, "u", "<nav><a href='/'>Home</a></nav><p>x</p>")],
+                                  "page_id long, url string, html string")
+    model = html_text.train(frame)
+    assert html_text.extract(PLAIN.format(LAYOUTS[0].format(_story(1)[0])), model) == _story(1)[1]
+
+
+def test_rare_layouts_are_in_the_sample(spark):
+    rows = [(i, "u", PLAIN.format(_story(i)[0])) for i in range(300)]
+    rows += [(300, "u", PLAIN.format(f'<div class="rare">{_story(300)[0]}</div>'))] + [(None, "u", rows[0][2])] * 50
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    chosen = html_text._sample(frame, 20)
+    assert len(chosen) == 20 == len(set(chosen)) and sum("rare" in c for c in chosen) == 1
