@@ -6,8 +6,9 @@ repetition, lines, word shapes), one only metadata (language, source, length). O
 the other one as labelled. Each view is then calibrated on labelled rows it was not
 fitted to, and a logistic model of both calibrated views scores all documents.
 
-Learning uses at most `SAMPLE_DOCS` documents, chosen by a hash of doc_id, labelled
-or not; rows whose crc32(doc_id as text) mod 5 is 0 are never among them, so they
+Learning uses all labelled documents up to `SAMPLE_DOCS`, and a pool of at most as many
+unlabelled ones, each chosen by a hash of doc_id from its own kind, so that labels count
+however many documents have none; rows whose crc32(doc_id as text) mod 5 is 0 are never among them, so they
 can tell how good the scores are. Everything else covers all documents.
 
 Edge cases: null text is empty; null lang and source are values of their own; the
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from absentia.llm.boosting import Boosted, boost
 from absentia.llm.texts import hash_share, map_batches, slices, text_key
+from absentia.sources.storage import settle
 
 SAMPLE_DOCS = 12_000
 ROUNDS = 5
@@ -82,28 +84,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, limit: int):
-    """Views and label (None: unlabelled) of at most `limit` documents, on the driver."""
+    """Views and label (None: unlabelled) on the driver, of at most `limit` documents
+    that have a label and as many that have none."""
     free = ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
-    ids = docs.select(F.col("doc_id").cast("long")).where(free)
-    chosen = hash_share(F.col("doc_id").cast("long"), ids.count(), int(0.9 * limit))
-    own = labels.where(F.col("quality").isNotNull() & free & chosen)
-    # The same share of the labels: about as many rows at most, each a few bytes.
+    ids = docs.where(free).select(F.col("doc_id").cast("long").alias("_id"))
+    own = labels.where(F.col("quality").isNotNull() & free)
     own = own.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("y"))
-    some = docs.where(free & chosen).select(
+    # Labels whose document is here, and rows by kind.
+    own = settle(own.join(ids, "_id", "left_semi"), "quality-labels")
+    n_known = ids.join(own, "_id", "left_semi").count()
+    most = int(0.9 * limit)
+    known = own.where(hash_share("_id", n_known, most)).limit(limit)
+    pool = ids.where(hash_share("_id", ids.count() - n_known, most)).join(own, "_id", "left_anti")
+    pool = pool.distinct().limit(limit).select("_id", F.lit(None).cast("int").alias("y"))
+    picked = settle(known.select("_id", F.col("y").cast("int").alias("y")).unionByName(pool), "quality-ids")
+    some = docs.where(free).select(
         F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text"
-    ).limit(limit)
+    ).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).drop("_id")
 
     def run(batches):
         for rows, texts in slices(batches, "text"):
             x, z = _views(rows, texts)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(list(x)), pa.array(list(z))], names=["doc_id", "x", "z"]
+                [rows.column(0), rows.column(4), pa.array(list(x)), pa.array(list(z))],
+                names=["doc_id", "y", "x", "z"],
             )
 
-    seen = map_batches(some, run, "doc_id long, x array<double>, z array<double>")
-    both = seen.join(F.broadcast(own.limit(limit)), F.col("doc_id") == F.col("_id"), "left")
+    seen = map_batches(some, run, "doc_id long, y int, x array<double>, z array<double>").limit(2 * limit)
     # Sorted, so that the order of tasks does not matter.
-    rows = sorted(both.select("doc_id", "y", "x", "z").collect(), key=lambda r: (r.doc_id, r.x))
+    rows = sorted(seen.collect(), key=lambda r: (r.doc_id, r.x))
     y = np.array([np.nan if r.y is None else float(r.y > 0) for r in rows])
     return np.array([r.x for r in rows]), np.array([r.z for r in rows]), y
 

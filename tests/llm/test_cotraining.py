@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from absentia.llm import cotraining
 from absentia.llm.queries import QUERIES
@@ -36,3 +37,18 @@ def test_odd_rows(docs, no_docs, labels, no_labels):
         assert all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in got} == {0.5}
     assert cotraining.score(no_docs, cotraining.fit(no_docs, labels)).count() == 0
+
+
+def test_unlabelled_documents_take_no_labels_away(spark):
+    """Labels for 200 of 20,000 documents, and for as many that are not in the table."""
+    docs = spark.range(20_000).selectExpr(
+        "id as doc_id", "concat('some words ', id) as text", "'en' as lang", "'a' as source")
+    labels = spark.range(19_800, 20_200).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    free = [r.doc_id for r in labels.where("doc_id < 20000").where(~cotraining.held_out(F.col("doc_id"))).collect()]
+    x, z, y = cotraining._sample(docs, labels, 1_000)
+    assert len(x) == len(z) == len(y)
+    assert (~np.isnan(y)).sum() == len(free) and np.nansum(y) == sum(i % 2 for i in free)
+    assert 700 < np.isnan(y).sum() <= 1_000
+    # More labels than the bound: a share of them.
+    _, _, y = cotraining._sample(docs, labels, 50)
+    assert 20 < (~np.isnan(y)).sum() <= 50 and 20 < np.isnan(y).sum() <= 50
