@@ -150,7 +150,8 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, key, fp, component_id (the smallest doc_id reachable) of every row."""
+    """doc_id, key, fp, component_id (the smallest doc_id reachable) and root (the smallest
+    fingerprint of the component, which alone tells components apart) of every row."""
     prints = settle(fingerprints(docs, shingle), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = links(distinct, distance)
@@ -159,20 +160,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = roots.join(named, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "key", "fp", "component_id")
+    of_print = roots.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(of_print, "fp").select("doc_id", "key", "fp", "component_id", "root")
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """The document with the smallest doc_id of each group; all columns as they came.
 
-    Of rows that share this doc_id the one with the smallest text key stays, once.
+    Of rows of a group that share this doc_id the one with the smallest text key stays,
+    once; groups whose smallest doc_id is the same, or null, are groups all the same.
     """
     found = near_duplicates(docs, shingle, distance)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "fp")
-    # Groups without any doc_id have a null component; the fingerprint tells them apart.
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    kept = found.groupBy(*group).agg(F.min(place).alias("k"))
+    kept = found.groupBy("root").agg(F.min(place).alias("k"))
     kept = settle(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_key")), "kept")
     repeated = found.groupBy("doc_id", "key").count().where("count > 1")
     own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))

@@ -108,3 +108,19 @@ def test_one_of_each_group_stays(docs, no_docs, spark):
     assert simhash.keep_one_per_group(no_docs).count() == 0
     twice = spark.createDataFrame([(1, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     assert simhash.keep_one_per_group(twice).count() == 1
+
+
+def test_groups_with_one_doc_id_or_none_stay_apart(spark):
+    a, b, near = ("alpha beta gamma delta " * 5 + "a", "one two three four five six " * 5 + "b",
+                  " ".join(f"word{i}" for i in range(400)))
+    rows = [(7, a), (9, a), (7, b), (10, b), (None, near), (None, near + " "), (None, near + "\n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one_per_group(frame).collect()
+    assert sorted(r.text for r in kept if r.doc_id == 7) == sorted([a, b])
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 7, 7]
+    # Near copies whose fingerprints differ are one group, too.
+    c = " ".join(f"word{i}" for i in range(399)) + " other"
+    prints = {simhash.fingerprint(t.encode()) for t in (near, c)}
+    assert len(prints) == 2 and (prints.pop() ^ prints.pop()).bit_count() <= 2
+    frame = spark.createDataFrame([(None, near), (None, c)], "doc_id long, text string")
+    assert simhash.keep_one_per_group(frame).count() == 1
