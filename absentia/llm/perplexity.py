@@ -15,6 +15,11 @@ rules. Short texts scatter more: the band is wider by `ERROR` over the root of t
 number of characters. Text below the band repeats itself, text above it is no prose
 of the corpus.
 
+Beside it a word model of the whole corpus (`word_model.py`) judges in what order words
+are, whatever their script. A document's word perplexity must not lie above the band of
+its language, made in the same way; below it are passages that occur elsewhere, which
+is no fault.
+
 Base rules: fewer than `MIN_WORDS` words, or more than a fifth of the words in
 five-word windows that occur twice.
 
@@ -32,7 +37,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from absentia.llm.texts import map_batches, slices
+from absentia.llm.texts import map_batches, slices, text_key
+from absentia.llm.word_model import word_perplexity
 from absentia.sources.storage import settle
 
 ORDER = 4
@@ -43,6 +49,8 @@ MIN_WORDS = 10
 REACH = 2.0
 LEAST = 0.02
 ERROR = 1.5
+WORD_LEAST = 0.2
+WORD_ERROR = 4.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -124,7 +132,11 @@ class Order:
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """For counts 0 (none), 1, 2 and 3 or more."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(float)
+    return discounts_of(np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(float))
+
+
+def discounts_of(n: np.ndarray) -> np.ndarray:
+    """The same, from how many counts are 1, 2, 3 and 4."""
     plain = np.array([0.0, 0.5, 1.0, 1.5])
     if (n == 0).any():
         return plain
@@ -239,7 +251,7 @@ def _line_repeats(text: bytes) -> int:
 
 _SPACES = bytes([0x20, 9, 10, 11, 12, 13])
 _SCHEMA = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id long, lang string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_chars long, log_perplexity double"
 )
 
@@ -266,38 +278,51 @@ def measure(docs: DataFrame, orders: list[Order]) -> DataFrame:
                 [len(p) for p in plain],
             ]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), *[pa.array(c, pa.int64()) for c in columns],
+                [rows.column(0), rows.column(1), rows.column(2), *[pa.array(c, pa.int64()) for c in columns],
                  pa.array(means, pa.float64())],
                 names=[f.split()[0] for f in _SCHEMA.split(", ")],
             )
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_key().alias("key"), "text")
     return map_batches(source, run, _SCHEMA)
 
 
+def _quartiles(found: DataFrame, column: str, name: str) -> DataFrame:
+    """The quartiles of a column over the rows of each language that pass the base rules,
+    as name_q1 and name_q3; the language is name_of."""
+    # On a grid: exact on it whatever the order of rows, and at most as many rows for a
+    # language as the grid has points.
+    at = F.round(column, 4).alias("at")
+    passed = found.where(~F.col("base_failed") & F.col(column).isNotNull())
+    points = passed.groupBy(F.col("lang").alias("of"), at).agg(F.count("*").alias("n"))
+    of = Window.partitionBy("of")
+    points = points.withColumns({"up_to": F.sum("n").over(of.orderBy("at")), "all": F.sum("n").over(of)})
+    return points.groupBy(F.col("of").alias(f"{name}_of")).agg(
+        F.min(F.when(4 * F.col("up_to") >= F.col("all"), F.col("at"))).alias(f"{name}_q1"),
+        F.min(F.when(4 * F.col("up_to") >= 3 * F.col("all"), F.col("at"))).alias(f"{name}_q3"),
+    )
+
+
 def judge(docs: DataFrame, reach: float = REACH) -> DataFrame:
-    """The figures of every row, base_failed, the band (low, high) and kept."""
+    """The figures of every row, base_failed, the band (low, high), word_high and kept."""
     found = settle(measure(docs, train(docs)), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
-    # Quartiles on a grid: exact on it whatever the order of rows, and at most as many
-    # rows for a language as the grid has points.
-    at = F.round("log_perplexity", 4).alias("at")
-    points = found.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of"), at).agg(
-        F.count("*").alias("n")
-    )
-    of = Window.partitionBy("of")
-    points = points.withColumns({"up_to": F.sum("n").over(of.orderBy("at")), "all": F.sum("n").over(of)})
-    bands = points.groupBy("of").agg(
-        F.min(F.when(4 * F.col("up_to") >= F.col("all"), F.col("at"))).alias("q1"),
-        F.min(F.when(4 * F.col("up_to") >= 3 * F.col("all"), F.col("at"))).alias("q3"),
-    )
-    low, high = F.col("q1"), F.col("q3")
+    by_words = word_perplexity(docs)
+    found = settle(found.join(by_words, F.col("key") == F.col("word_key"), "left").drop("key", "word_key"), "perplexity")
+    judged = found
+    for column, name in (("log_perplexity", "chars"), ("word_log_perplexity", "words")):
+        bands = _quartiles(found, column, name)
+        judged = judged.join(bands, F.col("lang").eqNullSafe(F.col(f"{name}_of")), "left")
+    low, high = F.col("chars_q1"), F.col("chars_q3")
     width = F.greatest(reach * (high - low), F.lit(LEAST))
-    bands = bands.select("of", (low - width).alias("_low"), (high + width).alias("_high"))
-    judged = found.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     error = ERROR / F.sqrt(F.col("n_chars") + 1)
-    judged = judged.withColumns({"low": F.col("_low") - error, "high": F.col("_high") + error})
-    judged = judged.drop("_low", "_high")
+    word_width = F.greatest(reach * (F.col("words_q3") - F.col("words_q1")), F.lit(WORD_LEAST))
+    judged = judged.withColumns({
+        "low": low - width - error, "high": high + width + error,
+        "word_high": F.col("words_q3") + word_width + WORD_ERROR / F.sqrt(F.col("n_words") + 1),
+    })
+    judged = judged.drop(*[f"{name}_{c}" for name in ("chars", "words") for c in ("of", "q1", "q3")])
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    known = F.coalesce(F.col("word_log_perplexity") <= F.col("word_high"), F.lit(True))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)) & known)

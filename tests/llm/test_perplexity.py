@@ -3,8 +3,9 @@ from collections import Counter
 
 import numpy as np
 
-from absentia.llm import perplexity
+from absentia.llm import perplexity, word_model
 from absentia.llm.queries import QUERIES
+from absentia.llm.texts import text_key
 
 
 def brute(text):
@@ -111,3 +112,69 @@ def test_bands_reject_what_is_no_prose(spark, documents):
     )
     got = perplexity.judge(documents.unionByName(strange))
     assert [r.kept for r in got.where("doc_id < 0").collect()] == [False, False]
+
+
+def test_word_model_is_modified_kneser_ney(spark, documents):
+    """Each half's n-grams under the model of the other, by the definition."""
+    rows = [(r.text,) for r in documents.orderBy("doc_id").limit(12).collect()]
+    docs = spark.createDataFrame(rows, "text string")
+    halves = {r.text: r.half for r in docs.select("text", (text_key() % 2 != 0).cast("int").alias("half")).collect()}
+    grams = {m: Counter() for m in (0, 1)}
+    own = {}
+    for text, m in halves.items():
+        w = ["", "", *word_model.words(text)]
+        own[text] = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    for (text,) in rows:
+        grams[halves[text]].update(own[text])
+
+    def model(top):
+        levels = {3: top}
+        for k in (2, 1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        cuts = {k: perplexity.discounts_of(np.array([sum(c == i for c in levels[k].values()) for i in (1, 2, 3, 4)], float))
+                for k in levels}
+        of = {k: {} for k in levels}
+        for k in levels:
+            for g, c in levels[k].items():
+                of[k].setdefault(g[:-1], []).append(c)
+
+        def p(gram):
+            k = len(gram)
+            if not k:
+                return 1 / (len(levels[1]) + 1)
+            counts = of[k].get(gram[:-1])
+            if not counts:
+                return p(gram[1:])
+            left = sum(cuts[k][min(c, 3)] for c in counts) / sum(counts)
+            c = levels[k].get(gram, 0)
+            return (c - cuts[k][min(c, 3)]) / sum(counts) + left * p(gram[1:])
+
+        return p
+
+    assert grams[0] and grams[1]
+    models = {m: model(grams[1 - m]) for m in (0, 1)}
+    want = sorted(-np.mean([np.log(models[halves[t]](g)) for g in own[t]]) for t in own if own[t])
+    got = sorted(r.word_log_perplexity for r in word_model.word_perplexity(docs).collect())
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_word_salad_and_other_scripts(spark):
+    """Real words in random order, in Latin and Cyrillic letters: the words alone are no prose."""
+    rng = np.random.default_rng(1)
+    for i, stem in enumerate(["ab", "\u0431\u0430"]):
+        vocabulary = [stem + "".join(chr(ord(stem[0]) + int(k)) for k in rng.integers(0, 8, 4)) for _ in range(300)]
+        # Prose: each word has few that may follow it.
+        after = {j: rng.integers(0, 300, 3) for j in range(300)}
+
+        def prose(n):
+            out = [int(rng.integers(0, 300))]
+            while len(out) < n:
+                out.append(int(after[out[-1]][rng.integers(0, 3)]))
+            return " ".join(vocabulary[j] for j in out)
+
+        rows = [(j, prose(80), "xx", "s", 1) for j in range(60)]
+        rows += [(-1, " ".join(vocabulary[j] for j in rng.integers(0, 300, 80)), "xx", "s", 1)]
+        got = perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+        got = {r.doc_id: r for r in got.collect()}
+        assert got[-1].word_log_perplexity > got[-1].word_high and not got[-1].kept
+        assert np.mean([r.kept for k, r in got.items() if k >= 0]) > 0.9
