@@ -11,7 +11,9 @@ of the sketch. Documents that have none are done; for the others the shingles
 themselves are compared. Nothing contained is missed and nothing else is reported.
 
 Items of fewer words than a shingle are one shingle of all their words; documents
-are then cut into shingles of that length too. Items whose words agree are one item,
+are then cut into shingles of that length too. They are reported like any other, but a
+document goes for one (`clean`) only if it has no other words: a word or two in a longer
+text is no leak. Items whose words agree are one item,
 the one with the least item_id.
 
 Sizes. The sketches are broadcast if the benchmark has at most `BROADCAST_BYTES` of
@@ -90,6 +92,11 @@ def items_of(benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key (of the text), item_id, n_found, n_shingles, containment, for every
     document and item with containment of at least `threshold`."""
+    return _found(docs, benchmark, threshold).drop("telling").distinct()
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """The same, and whether the item is long enough, or all of the document, to tell."""
     items = settle(items_of(benchmark, threshold), "items")
     small = text_bytes(benchmark) <= BROADCAST_BYTES
     hint = F.broadcast if small else lambda t: t
@@ -107,6 +114,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
         return split.where(F.lit(False)).select(
             "doc_id", "key", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_found"),
             F.lit(0).alias("n_shingles"), F.lit(0.0).alias("containment"),
+            F.lit(True).alias("telling"),
         )
     candidates = settle(candidates, "candidates").select(
         F.col("doc_id").alias("cid"), F.col("key").alias("ckey"), F.explode("items").alias("item")
@@ -121,15 +129,20 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
         found = F.when(F.col("length") == n, shared) if found is None else (
             found.when(F.col("length") == n, shared)
         )
-    checked = both.select("doc_id", "key", "item_id", found.alias("n_found"), F.col("n").alias("n_shingles"))
+    telling = (F.col("length") >= SHINGLE) | (F.size("w") == F.col("length"))
+    checked = both.select(
+        "doc_id", "key", "item_id", found.alias("n_found"), F.col("n").alias("n_shingles"), telling.alias("telling")
+    )
     checked = checked.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
-    return checked.where(F.col("containment") >= threshold).distinct()
+    return checked.where(F.col("containment") >= threshold).select(
+        "doc_id", "key", "item_id", "n_found", "n_shingles", "containment", "telling")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no item; all columns as they came."""
+    """The documents that contain no item of `SHINGLE` words or more and are no shorter
+    one; all columns as they came."""
     hit = settle(
-        contained(docs, benchmark, threshold)
+        _found(docs, benchmark, threshold).where("telling")
         .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "hits"
     )
     own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))

@@ -83,3 +83,11 @@ def test_documents_that_contain_an_item_go(spark, docs, no_docs, benchmark):
     assert d.clean(docs, benchmark.where("false")).count() == docs.count()
     assert d.contained(docs, benchmark.where("false")).count() == 0
     assert d.contained(no_docs, benchmark).count() == 0
+
+
+def test_short_items_do_not_take_longer_documents(spark):
+    rows = [(1, "yes, it is so"), (2, "Yes!"), (3, "a b c d is not all"), (4, "one two three four five and on")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "a b c d"), (3, "one two three four five")], "item_id long, text string")
+    assert sorted(r.doc_id for r in d.clean(docs, items).collect()) == [1, 3]
+    assert sorted((r.doc_id, r.item_id) for r in d.contained(docs, items).collect()) == [(1, 1), (2, 1), (3, 2), (4, 3)]
