@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from absentia.llm import (
-    chat, cotraining, decontamination, html_text, mixing, perplexity, simhash, substrings, token_files, toxicity,
+    archives, chat, cotraining, decontamination, html_text, mixing, perplexity, simhash, substrings, token_files, toxicity,
 )
-from absentia.llm.texts import table, text_key
+from absentia.llm.texts import as_bytes, map_batches, slices, table, text_key
+from absentia.sources.storage import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +188,57 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
     scored = cotraining.score(docs, model).drop("key")
     return scored.withColumn("kept", F.col("predicted") == 1)
+
+
+PAGE_FIELD = "X-Page-Id"
+
+
+def _arc_text(version: int):
+    """The lines of an ARC file of a version that holds pages as HTTP answers."""
+    fields = archives.V1_FIELDS if version == 1 else archives.V2_FIELDS
+    middle = " " if version == 1 else " 200 - - 0 pages.arc "
+    date = "20240229120000"
+
+    def run(batches):
+        started = False
+        for batch in batches:
+            for rows, texts in slices([batch], "html"):
+                out = []
+                if not started:
+                    started = True
+                    block = f"{version} 0 pages\n{fields}\n\n"
+                    out.append(
+                        f"filedesc://pages.arc 0.0.0.0 {date} text/plain{middle}{len(block)}\n{block}".encode()
+                    )
+                for page, url, html in zip(rows.column(0).to_pylist(), as_bytes(rows.column(1)), texts):
+                    known = f"{PAGE_FIELD}: {page}\r\n" if page is not None else ""
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{known}\r\n"
+                    block = head.encode() + html
+                    place = b"%20".join(url.split()) or b"about:blank"
+                    line = f" 192.0.2.1 {date} text/html{middle}{len(block)}\n".encode()
+                    out.append(place + line + block)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+    return run
+
+
+def pages_as_arc(pages: DataFrame, folder: str) -> None:
+    """Pages as ARC files, about half of them in each version."""
+    for version in (1, 2):
+        half = pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(2)) == version - 1)
+        lines = map_batches(half.select("page_id", "url", "html"), _arc_text(version), "value binary")
+        archives.write_lines(lines, f"{folder}/version={version}", archives.ARC_END)
+
+
+@_query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, warc = new_folder(spark, "arc"), new_folder(spark, "warc")
+    pages_as_arc(table(spark, sf_dir, "pages"), arc)
+    archives.convert(spark, arc, warc, key_field=PAGE_FIELD, revisit_from=0)
+    return archives.read_warc(spark, warc, key_field=PAGE_FIELD).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_key").alias("refers_to"),
+    )
+
+
+# DuckDB has no SHA-1 in base 32 and none of bytes; tests compare with a brute-force version.
