@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from absentia.llm import (
-    archives, chat, cotraining, decontamination, html_text, mixing, perplexity, simhash, substrings, token_files, toxicity,
+    archives, chat, cotraining, decontamination, html_text, lexical, mixing, perplexity, simhash, substrings, token_files, toxicity,
 )
 from absentia.llm.texts import as_bytes, map_batches, slices, table, text_key
 from absentia.sources.storage import new_folder
@@ -242,3 +242,37 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # DuckDB has no SHA-1 in base 32 and none of bytes; tests compare with a brute-force version.
+
+
+@_query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def _term_rows(name: str, key: str) -> str:
+    """Terms of a table with their counts, in DuckDB SQL."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""SELECT row, {key}, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT row_number() OVER () AS row, * FROM {name})"""
+
+
+ORACLES["op12_lexical"] = f"""
+WITH d AS (
+  SELECT row, doc_id, t, count(*) AS tf FROM ({_term_rows("documents", "doc_id")}) GROUP BY ALL),
+i AS (SELECT DISTINCT row AS item, item_id, t FROM ({_term_rows("benchmark", "item_id")})),
+sizes AS (SELECT row, sum(tf) AS n FROM d GROUP BY row),
+whole AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM sizes),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM d, whole GROUP BY t, n_docs),
+scored AS (
+  SELECT item, item_id, row, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT)
+      AS score
+  FROM i JOIN d USING (t) JOIN weights USING (t) JOIN sizes USING (row), whole
+  GROUP BY item, item_id, row, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
