@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from absentia.llm import (
     archives, chat, cotraining, decontamination, html_text, lexical, mixing, perplexity, simhash, substrings, token_files, toxicity,
+    whitening,
 )
 from absentia.llm.texts import as_bytes, map_batches, slices, table, text_key
 from absentia.sources.storage import new_folder
@@ -276,3 +277,11 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
   FROM scored WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=32)
+
+
+# SQL has no eigenvectors; tests compare with a brute-force version.
