@@ -48,6 +48,24 @@ def filter_school_year(df: DataFrame, values) -> DataFrame:
     return _filter_in(df, SCHOOL_YEAR, values)
 
 
+def rows_wanted(df: DataFrame, filters: RowFilters) -> Column:
+    """The condition that `filter_rows` filters by, for a frame with parsed dates."""
+    wanted = F.lit(True)
+    chosen = (
+        (EMPLOYEE_TYPE, filters.employee_type),
+        (FILLED, filters.filled_status),
+        (SCHOOL_YEAR, filters.school_year),
+    )
+    for column, values in chosen:
+        if column in df.columns and values:
+            wanted = wanted & F.coalesce(ref(column).isin(*values), F.lit(False))
+    first, last = filters.date_range or (None, None)
+    if DATE in df.columns and first and last:
+        within = ref(DATE).between(_moment_literal(first), _moment_literal(last))
+        wanted = wanted & F.coalesce(within, F.lit(False))
+    return wanted
+
+
 def filter_rows(df: DataFrame, filters: RowFilters, require_rows: bool = False) -> DataFrame:
     """All filters together. `require_rows` costs a one-row job to raise on none."""
     kept = dedup_header(df) if len(set(df.columns)) < len(df.columns) else df

@@ -25,12 +25,16 @@ from absentia.vocabulary import ABSENCE_DAYS, EMPLOYEE_ID, SCHOOL_YEAR
 
 
 def rating_frame(
-    cleaned: DataFrame, with_names: bool = False, order_by: Sequence[str] = ()
+    cleaned: DataFrame,
+    with_names: bool = False,
+    order_by: Sequence[str] = (),
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """The columns a rating reads, under neutral names.
 
     school_year, employee_id, absence_days and, if asked for, first_name,
-    last_name and row_order (where a row stands in its source).
+    last_name and row_order (where a row stands in its source). Columns in `also`
+    are passed on as they are.
     """
     df = derive_school_year(normalize_for_rating(cleaned))
     require_columns(df)
@@ -46,7 +50,7 @@ def rating_frame(
             (clean_name(ref(last)) if last else F.lit("")).alias("last_name"),
             order_key(order_by).alias("row_order"),
         ]
-    return df.select(columns)
+    return df.select(columns + [ref(c) for c in also])
 
 
 def order_key(order_by: Sequence[str]) -> Column:

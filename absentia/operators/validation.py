@@ -23,7 +23,7 @@ from absentia.vocabulary import (
 )
 
 
-def _record_columns(df: DataFrame) -> list[str]:
+def record_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW_ORDER]
 
 
@@ -52,10 +52,10 @@ def validate(df: DataFrame) -> DataFrame:
 
 
 def _any_value(df: DataFrame) -> Column:
-    return reduce(lambda a, b: a | b, [ref(c).isNotNull() for c in _record_columns(df)])
+    return reduce(lambda a, b: a | b, [ref(c).isNotNull() for c in record_columns(df)])
 
 
-def _flagged(df: DataFrame) -> DataFrame:
+def flagged(df: DataFrame) -> DataFrame:
     """The typed frame plus whether a row has content, read off the raw cells."""
     marked = df.select("*", _any_value(df).alias("_content"))
     return _typed(marked)
@@ -65,7 +65,7 @@ def _valid(df: DataFrame) -> Column:
     return F.col("_content") & (ref(DATE).isNotNull() if DATE in df.columns else F.lit(True))
 
 
-def _as_rows(counts: DataFrame, key: str, value: str) -> DataFrame:
+def as_rows(counts: DataFrame, key: str, value: str) -> DataFrame:
     """One row of named counts, turned into (name, count) rows."""
     pairs = [x for c in counts.columns for x in (F.lit(c), F.col(c))]
     return counts.select(F.stack(F.lit(len(counts.columns)), *pairs).alias(key, value))
@@ -74,7 +74,7 @@ def _as_rows(counts: DataFrame, key: str, value: str) -> DataFrame:
 def validation_report(df: DataFrame) -> DataFrame:
     """(check, n) rows, all counted in one pass over the raw frame."""
     missing = [c for c in VALIDATION_COLUMNS if c not in df.columns]
-    marked = _flagged(df)
+    marked = flagged(df)
     content, valid = F.col("_content"), _valid(marked)
 
     def count(condition: Column) -> Column:
@@ -98,7 +98,7 @@ def validation_report(df: DataFrame) -> DataFrame:
         *[F.coalesce(c.cast("bigint"), F.lit(len(missing) if n.startswith("missing_r") else 0)
                      .cast("bigint")).alias(n) for n, c in checks.items()]
     )
-    return _as_rows(counts, "check", "n")
+    return as_rows(counts, "check", "n")
 
 
 def _step_counts(df: DataFrame, steps: list[tuple[str, Column | None]]) -> DataFrame:
@@ -122,7 +122,7 @@ def _step_counts(df: DataFrame, steps: list[tuple[str, Column | None]]) -> DataF
 
 def cleaning_stats(df: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     """Row counts after validation and each rule."""
-    marked = _flagged(df)
+    marked = flagged(df)
     return _step_counts(marked, [("validation", _valid(marked)), *gated_rules(marked, config)])
 
 

@@ -1,10 +1,20 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from absentia.config import RatingParams, RowFilters
 from absentia.operators import profile
 from absentia.plans.end_to_end import rate_file
-from absentia.sources.csv_files import require_rows, scan_csv, scan_layouts, sink_csv
+from absentia.sources import headers
+from absentia.sources.csv_files import (
+    layouts_of,
+    require_rows,
+    scan_csv,
+    scan_known,
+    scan_layouts,
+    sink_csv,
+)
 from absentia.sources.runs import read_runs
 from absentia.sources.storage import settle, shared_folder
 
@@ -49,6 +59,96 @@ def test_layouts_join_by_name(spark, tmp_path):
         ("1", "2020-2021", None), ("2", None, "2021-01-01")}
 
 
+def _folder(tmp_path, files):
+    folder = tmp_path / "in put [1]"  # characters that paths and globs treat apart
+    folder.mkdir()
+    for name, text in files.items():
+        _file(folder, name, text)
+    return str(tmp_path / "in put*")
+
+
+def test_files_are_read_under_their_own_header(spark, tmp_path):
+    path = _folder(tmp_path, {
+        "a 1.csv": "Emp ID,Date,Days\n1,2021-01-01,0.5\n", "b.csv": "Date,Days,Emp ID\n2021-01-02,1,2\n",
+        "c%20.csv": "Emp ID,Date,Days\n3,,\n", "empty.csv": "", "blank.csv": "\n\n",
+        "headed.csv": "Days,Emp ID,Date\n"})
+    df = scan_csv(spark, path, with_row_order=True)
+    assert df.columns[:3] == ["Emp ID", "Date", "Days"]
+    assert {tuple(r)[:3] for r in df.collect()} == {
+        ("1", "2021-01-01", "0.5"), ("2", "2021-01-02", "1"), ("3", None, None)}
+
+
+def test_other_columns_are_an_error_that_names_files(spark, tmp_path):
+    path = _folder(tmp_path, {
+        "a.csv": "x,y\n1,2\n", "b.csv": "x,y\n1,2\n", "rogue.csv": "x,z\n1,2\n", "cased.csv": "X,y\n1,2\n"})
+    with pytest.raises(ValueError, match="other columns than .*/a.csv: .*(cased|rogue).csv"):
+        scan_csv(spark, path)
+
+
+def test_known_layouts_are_told_apart(spark, tmp_path):
+    path = _folder(tmp_path, {
+        "a.csv": "Emp ID,SY,Other\n1,2020-2021,o\n", "b.csv": "Day,Staff\n2021-01-01,2\n",
+        "b2.csv": "Staff,Day\n3,2021-01-03\n", "r.csv": "region,name\n1,x\n"})
+    known = [{"Emp ID": "Employee Identifier", "SY": "School Year"},
+             {"Staff": "Employee Identifier", "Day": "Date"}]
+    with pytest.raises(ValueError, match="no known layout: .*/r.csv$"):
+        scan_known(spark, path, known)
+    df = scan_known(spark, path, known, unknown="leave out")
+    got = df.select("Employee Identifier", "School Year", "Date", "Other").collect()
+    assert {tuple(r) for r in got} == {
+        ("1", "2020-2021", None, "o"), ("2", None, "2021-01-01", None), ("3", None, "2021-01-03", None)}
+    with pytest.raises(ValueError, match="no known layout"):
+        scan_known(spark, path, [{"Nobody": "Date"}], unknown="leave out")
+
+
+def test_layouts_are_counted_not_listed(spark, tmp_path):
+    """Many files of one layout come back as one; a name for each only if they differ."""
+    files = {f"{i}.csv": "a,b\n1,2\n" for i in range(30)}
+    one = layouts_of(spark, _folder(tmp_path, files))
+    assert [(x.cells, x.n_files, x.files, x.has_rows) for x in one] == [(("a", "b"), 30, None, True)]
+
+
+def test_headers_cost_a_short_read(spark, tmp_path):
+    """Tasks stop after the first lines: one of 50 MB reads no more than some batches."""
+    row = "x" * 99 + "\n"
+    path = _file(tmp_path, "big.csv", "a\n" + row * 500_000)
+    starts = headers._file_starts(spark, [path])
+    start = time.perf_counter()
+    (found,) = starts.collect()
+    assert len(found["lines"]) == headers._LINES
+    read = time.perf_counter() - start
+    start = time.perf_counter()
+    assert spark.read.text(path).selectExpr("sum(length(value))").first()[0] > 49_000_000
+    assert read < 5 + time.perf_counter() - start
+
+
+@pytest.mark.parametrize("text", [
+    'id,note,day\n1,"a\nb",x\n', 'id,note,day\n"1\n2",b,x\n', 'id,note,day\n1,b,"x\ny"\n',
+    'id,note,day\n1,b,"x ""q"" \n\n y"\n'])
+def test_line_breaks_in_cells_are_found(spark, tmp_path, text):
+    path = _file(tmp_path, "a.csv", "id,note,day\n" + 'p,q,"r ""s"""\n' * 50 + text.partition("\n")[2])
+    with pytest.raises(Exception, match="multi_line=True"):
+        scan_csv(spark, path).select("day").collect()
+    with pytest.raises(Exception, match="multi_line=True"):
+        scan_csv(spark, path).count()
+    assert scan_csv(spark, path, multi_line=True).count() == 51
+    assert scan_csv(spark, path, check_records=False).count() > 51
+
+
+def test_ragged_records_are_no_line_breaks(spark, tmp_path):
+    path = _file(tmp_path, "a.csv", 'a,b,c\n1\n1,2,3,4\n"x ""y""",2\n')
+    got = [tuple(r) for r in scan_csv(spark, path).collect()]
+    assert got == [("1", None, None), ("1", "2", "3"), ('x "y"', "2", None)]
+
+
+def test_headings_with_line_breaks(spark, tmp_path):
+    path = _file(tmp_path, "a.csv", 'a,"b\nc"\n1,2\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        scan_csv(spark, path)
+    df = scan_csv(spark, path, multi_line=True)
+    assert df.columns == ["a", "b\nc"] and [tuple(r) for r in df.collect()] == [("1", "2")]
+
+
 def test_sink_keeps_blanks_and_quotes(spark, tmp_path):
     rows = [(' a "b", c ', "1"), (None, "2")]
     df = spark.createDataFrame(rows, "t string, n string")

@@ -5,11 +5,18 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from absentia.operators.rules import rule1_exact
+from absentia.config import RowFilters, RuleConfig
 from absentia.operators.filters import filter_school_year
+from absentia.operators.rules import rule1_exact
+from absentia.operators.validation import cleaning_stats, validation_report
+from absentia.plans.end_to_end import rate_file
+from absentia.plans.judged import row_counts
+from absentia.plans.rate import rate_adaptive
 
 # These write and read files as they are built; their plans are those of a scan.
-WRITES = {"scan_csv", "sink_csv", "rate_end_to_end", "append_run", "append_failed_run"}
+WRITES = {"scan_csv", "sink_csv", "rate_end_to_end", "append_run", "append_failed_run",
+          "scan_known_layouts", "scan_column_orders", "header_catalogue", "rate_two_layouts",
+          "rate_file_counts"}
 
 
 def _plan(df):
@@ -51,3 +58,38 @@ def test_filters_reach_a_parquet_scan(spark, tmp_path):
     pushed = re.search(r"PushedFilters: \[(.*)\]", _plan(df)).group(1)
     assert "In(`School Year`" in pushed or "In(School Year" in pushed
     assert "Not(EqualTo(Filled,Unfilled))" in pushed
+
+
+CSV = """Emp ID,Date,SY,Employee Type,Duration,Filled,Needs Substitute,Start Time,End Time
+1,2020-09-01,2020-2021,Teacher,7.5,Filled,YES,,
+1,bad,2020-2021,Teacher,7.5,Filled,YES,,
+,,,,,,,,
+2,2020-10-01,2020-2021,Teacher,-1,Unfilled,NO,,
+,2020-10-02,FY21,Teacher,,Filled,YES,8:00 AM,3:30 PM
+3,2019-10-02,2020-2021,Teacher,15,Filled,YES,,
+4,2020-10-03,2020-2021,Aide,15,Filled,YES,8:00 AM,bad
+4,2020-10-04,2020-2021,Nurse,,Filled,YES,8:00 AM,9:30 AM
+"""
+
+
+@pytest.mark.parametrize("filters", [
+    RowFilters(), RowFilters(employee_type=("Teacher", "Aide")), RowFilters(school_year=("2020-2021",)),
+    RowFilters(date_range=("2020-09-01", "2020-10-02")), RowFilters(filled_status=("Filled",)),
+    RowFilters(employee_type=("Nobody",))])
+def test_a_file_is_rated_in_one_scan(spark, tmp_path, filters):
+    """Counts that ride on the ledger equal those counted apart; nothing scans twice."""
+    (tmp_path / "a.csv").write_text(CSV)
+    lazy = rate_file(spark, str(tmp_path / "a.csv"), filters=filters, keep_ledger=False)
+    assert _plan(lazy.book).count("FileScan csv") == 1
+    rated = rate_file(spark, str(tmp_path / "a.csv"), filters=filters)
+    config = RuleConfig(user_filtered_types=bool(filters.employee_type))
+    assert rated.stats.collect() == cleaning_stats(rated.selected, config).collect()
+    assert rated.validation.collect() == validation_report(rated.selected).collect()
+    apart = rate_adaptive(rated.cleaned, order_by=["_row_order"])
+    for name in ("year_metrics", "year_breakdown", "summary"):
+        assert getattr(rated.tables, name).collect() == getattr(apart, name).collect()
+        assert "FileScan csv" not in _plan(getattr(rated.tables, name))
+    for frame in (rated.stats, rated.validation, row_counts(rated.book)):
+        assert "FileScan csv" not in _plan(frame)
+    counts = row_counts(rated.book).first()
+    assert tuple(counts) == (rated.raw.count(), rated.selected.count(), rated.cleaned.count())

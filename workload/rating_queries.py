@@ -14,6 +14,7 @@ from absentia.operators.columns import require_columns
 from absentia.plans import report
 from absentia.plans.cleaning import clean_adaptive, clean_exact
 from absentia.plans.end_to_end import rate_file
+from absentia.plans.judged import row_counts
 from absentia.plans.rate import RatingTables, rate_adaptive, rate_exact
 from absentia.sources.csv_files import sink_csv
 from absentia.sources.runs import append_failed_run, append_run, read_runs, run_row
@@ -570,6 +571,64 @@ def _rate_end_to_end(spark, sf):
     return rated.tables.year_breakdown
 
 
+def _two_exports(spark: SparkSession, sf: str) -> str:
+    """The text records as files of two districts with headings and orders of their own."""
+    folder = new_folder(spark, "districts-csv")
+    df = raw_absences(spark, sf, [*RAW_COLUMNS, "l_orderkey"])
+    one = {"Employee Identifier": "Emp ID", "Date": "Absence Date", "School Year": "SY"}
+    two = {"Employee Identifier": "Employee ID", "School Year": "SchoolYear", "Filled": "Is Filled"}
+    for k, shown in enumerate((one, two)):
+        half = df.where(F.col("l_orderkey") % 2 == k).drop("l_orderkey")
+        sink_csv(half.select(half.columns[:: 1 - 2 * k]), f"{folder}/district={k}", shown)
+    return f"{folder}/*"
+
+
+@query("rate_two_layouts", f"""WITH {sql.breakdown(2, 3, sql.RAW_CLEANED)}
+  SELECT {sql.BREAKDOWN_COLUMNS} FROM breakdown""")
+def _rate_two_layouts(spark, sf):
+    rated = rate_file(spark, _two_exports(spark, sf), params=YEARLY, mapping=_KEEP_HOURS)
+    return rated.tables.year_breakdown
+
+
+_KEPT = "d IS NOT NULL AND NOT rule1_drops"
+
+
+@query("rate_file_counts", f"""WITH {sql.RAW}, s AS (
+    SELECT *, NOT blank AND d IS NOT NULL AS valid FROM raw WHERE etype IN ('Teacher', 'Aide'))
+  SELECT 'rows' AS section, 'rows_raw' AS name, count(*) AS n FROM raw
+  UNION ALL SELECT 'rows', 'rows_selected', count(*) FROM s
+  UNION ALL SELECT 'rows', 'rows_cleaned', count(*) FROM s WHERE {_KEPT} AND {sql.RULE3}
+  UNION ALL SELECT 'checks', 'missing_required_columns', 0
+  UNION ALL SELECT 'checks', 'empty_rows', count(*) FROM s WHERE blank
+  UNION ALL SELECT 'checks', 'bad_dates', count(*) FROM s WHERE NOT blank AND d IS NULL
+  UNION ALL SELECT 'checks', 'negative_durations', count(*) FROM s WHERE valid AND dur < 0
+  UNION ALL SELECT 'checks', 'malformed_school_years', count(*) FROM s
+    WHERE valid AND sy IS NOT NULL AND sy NOT LIKE '____-____'
+  UNION ALL SELECT 'checks', 'missing_employee_ids', count(*) FROM s WHERE valid AND e IS NULL
+  UNION ALL SELECT 'checks', 'rows_removed', count(*) FROM s WHERE NOT valid
+  UNION ALL SELECT 'checks', 'final_rows', count(*) FROM s WHERE valid
+  UNION ALL SELECT 'steps', 'original_rows', count(*) FROM s
+  UNION ALL SELECT 'steps', 'after_validation', count(*) FROM s WHERE valid
+  UNION ALL SELECT 'steps', 'after_rule1', count(*) FROM s WHERE {_KEPT}
+  UNION ALL SELECT 'steps', 'after_rule2', count(*) FROM s WHERE {_KEPT}
+  UNION ALL SELECT 'steps', 'after_rule3', count(*) FROM s WHERE {_KEPT} AND {sql.RULE3}
+  UNION ALL SELECT 'steps', 'final_rows', count(*) FROM s WHERE {_KEPT} AND {sql.RULE3}
+  UNION ALL SELECT 'steps', 'rows_removed', count(*) FROM s WHERE NOT ({_KEPT} AND {sql.RULE3})""")
+def _rate_file_counts(spark, sf):
+    rated = rate_file(
+        spark, _export(spark, sf), params=YEARLY, mapping=_KEEP_HOURS,
+        filters=RowFilters(employee_type=("Teacher", "Aide")),
+    )
+    parts = [
+        rated.validation.select(F.lit("checks").alias("section"), F.col("check").alias("name"), "n")
+    ]
+    for section, row in (("rows", row_counts(rated.book)), ("steps", rated.stats)):
+        cells = [x for c in row.columns for x in (F.lit(c), F.col(c).cast("bigint"))]
+        stacked = F.stack(F.lit(len(row.columns)), *cells).alias("name", "n")
+        parts.append(row.select(F.lit(section).alias("section"), stacked))
+    return reduce(DataFrame.unionByName, parts)
+
+
 _RUN_COLUMNS = ["user_email", "filters_json", "rows_raw", "rows_selected", "rows_cleaned",
                 "total_teachers", "total_premium", "status", "error_message", "step", "run_id"]
 

@@ -27,7 +27,7 @@ from absentia.operators.validation import (
     validation_report,
 )
 from absentia.plans.cleaning import clean_adaptive, clean_exact
-from absentia.sources.csv_files import require_rows, scan_csv, sink_csv
+from absentia.sources.csv_files import layouts_of, require_rows, scan_csv, scan_known, sink_csv
 from absentia.sources.storage import new_folder
 from workload import sql
 from workload.fixtures import ORDER_COLUMNS, RAW_COLUMNS, absences, raw_absences
@@ -59,6 +59,56 @@ def _scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     return scan_csv(spark, folder)
 
 
+_ORDERS = ["Employee Identifier", "Date", "School Year", "l_orderkey", "l_linenumber"]
+
+
+def _exports(spark: SparkSession, sf: str) -> str:
+    """The records as files of several layouts: two districts' own headings, one of them
+    in two orders of columns, and files that hold no absences."""
+    folder = new_folder(spark, "exports-csv")
+    df = raw_absences(spark, sf, _ORDERS)
+    kind = F.col("l_orderkey") % 3
+    first = df.where(kind == 0).toDF("Emp ID", "Absence Date", "SY", "Order", "Line")
+    sink_csv(first, f"{folder}/district=1")
+    turned = df.where(kind == 1).toDF("Emp ID", "Absence Date", "SY", "Order", "Line")
+    sink_csv(turned.select("Line", "SY", "Absence Date", "Emp ID", "Order"), f"{folder}/district=2")
+    second = df.where(kind == 2).toDF("Staff No", "Day", "Year", "Order", "Line")
+    sink_csv(second, f"{folder}/district=3")
+    sink_csv(spark.read.parquet(f"{sf}/nation.parquet"), f"{folder}/district=4")
+    return folder
+
+
+@query("scan_known_layouts", f"""WITH {sql.RAW} SELECT e AS "Employee Identifier",
+  date_text AS "Date", sy AS "School Year", CAST(l_orderkey AS VARCHAR) AS "Order",
+  CAST(l_linenumber AS VARCHAR) AS "Line" FROM raw""")
+def _scan_known_layouts(spark, sf):
+    known = [
+        {"Emp ID": "Employee Identifier", "Absence Date": "Date", "SY": "School Year"},
+        {"Staff No": "Employee Identifier", "Day": "Date", "Year": "School Year"},
+    ]
+    scanned = scan_known(spark, f"{_exports(spark, sf)}/*", known, unknown="leave out")
+    return scanned.select("Employee Identifier", "Date", "School Year", "Order", "Line")
+
+
+@query("scan_column_orders", f"""WITH {sql.RAW} SELECT e AS "Emp ID", date_text AS "Absence Date",
+  sy AS "SY", CAST(l_orderkey AS VARCHAR) AS "Order", CAST(l_linenumber AS VARCHAR) AS "Line"
+  FROM raw WHERE l_orderkey % 3 < 2""")
+def _scan_column_orders(spark, sf):
+    scanned = scan_csv(spark, f"{_exports(spark, sf)}/district=[12]")
+    return scanned.select("Emp ID", "Absence Date", "SY", "Order", "Line")
+
+
+@query("header_catalogue", """SELECT 'Absence Date,Emp ID,Line,Order,SY' AS columns, 2 AS n_orders
+  UNION ALL SELECT 'Day,Line,Order,Staff No,Year', 1
+  UNION ALL SELECT string_agg(column_name, ',' ORDER BY column_name), 1
+    FROM (DESCRIBE SELECT * FROM nation)""")
+def _header_catalogue(spark, sf):
+    found = layouts_of(spark, f"{_exports(spark, sf)}/*")
+    rows = [(",".join(sorted(x.cells)), ",".join(x.cells)) for x in found]
+    df = spark.createDataFrame(rows, "columns string, cells string")
+    return df.groupBy("columns").agg(F.count_distinct("cells").cast("int").alias("n_orders"))
+
+
 @query("sink_csv", f"""WITH {sql.CLEANED} SELECT e AS "Employee Identifier (Emp ID)",
   sy AS "School Year", CAST(days AS VARCHAR) AS "Absence_Days (Days)" FROM cleaned""")
 def _sink_csv(spark, sf):
