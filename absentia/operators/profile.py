@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from absentia.functions.dates import moment_of
-from absentia.functions.numbers import to_number
 from absentia.functions.text import ref
+from absentia.operators.frequent import leading_values
 from absentia.operators.rules import rule3_keep
 from absentia.vocabulary import (
     DATE,
@@ -90,10 +90,10 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, column: str, n: int = TOP_CATEGORIES) -> DataFrame:
     """Most frequent values; equal counts in order of value."""
+    counted, _ = leading_values(df, {column: n})
     return (
-        df.filter(ref(column).isNotNull())
-        .groupBy(ref(column).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        counted.groupBy("value")
+        .agg(F.sum("n").alias("n"))
         .orderBy(F.col("n").desc(), F.col("value"))
         .limit(n)
     )
@@ -106,69 +106,37 @@ def column_value_view(
 
     A column of numbers shows its distinct values if there are at most n, else
     its minimum and maximum; any other column shows its n most frequent values.
-    All columns are counted by one aggregate over (column, value) pairs. The
-    ranking passes only the leading rows of each column on, so no task has to
-    hold a column's whole value set.
+    Two scans: a summary of every column, then exact counts of its candidates
+    (`operators/frequent.py`); only a column whose leading values the summary cannot
+    prove has its values counted in full.
     """
     columns = list(columns or df.columns)
-    numeric = {
-        c: isinstance(df.schema[c].dataType, T.NumericType) for c in columns
-    }
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit(numeric[c]).alias("typed"),
-                ref(c).cast("string").alias("value"),
-                to_number(ref(c), df.schema[c].dataType).alias("number_value"),
-            )
-            for c in columns
-        ]
-    )
-    counted = (
-        df.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull() & (~F.col("typed") | F.col("number_value").isNotNull()))
-        .groupBy("column_name", "value", "number_value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    kinds = counted.groupBy("column_name").agg(
-        F.every(F.col("number_value").isNotNull()).alias("is_number"),
-        F.count_distinct("number_value").alias("n_distinct"),
-        F.min("number_value").alias("low"),
-        F.max("number_value").alias("high"),
-    )
+    counted, known = leading_values(df, dict.fromkeys(columns, n))
+    numbers = [c for c in columns if known[c]["n"] and known[c]["n_numbers"] == known[c]["n"]]
+    few = [c for c in numbers if known[c]["n_distinct"] is not None]
+    ends = [
+        (c, i, None, known[c][end])
+        for c in numbers
+        if c not in few
+        for i, end in ((1, "low"), (2, "high"))
+    ]
     by_count = Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value")
-    frequent = (
-        counted.withColumn("rank", F.row_number().over(by_count))
+    words = (
+        counted.filter(~F.col("column_name").isin(numbers))
+        .withColumn("rank", F.row_number().over(by_count))
         .filter(F.col("rank") <= n)
-        .select("column_name", "rank", "value")
+        .select("column_name", "rank", "value", F.lit(None).cast("double").alias("number_value"))
     )
     by_value = Window.partitionBy("column_name").orderBy("number_value")
     lowest = (
-        counted.filter(F.col("number_value").isNotNull())
-        .groupBy("column_name", "number_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        counted.filter(F.col("column_name").isin(few))
+        .select("column_name", "number_value")
+        .distinct()
         .withColumn("rank", F.row_number().over(by_value))
-        .filter(F.col("rank") <= n)
-        .select("column_name", "rank", "number_value")
-    )
-    # `kinds` has one row per column of the table, whatever the data's size.
-    words = frequent.join(F.broadcast(kinds.filter(~F.col("is_number"))), "column_name").select(
-        "column_name", "rank", "value", F.lit(None).cast("double").alias("number_value")
-    )
-    few = lowest.join(
-        F.broadcast(kinds.filter(F.col("is_number") & (F.col("n_distinct") <= n))), "column_name"
-    ).select("column_name", "rank", F.lit(None).cast("string").alias("value"), "number_value")
-    many = kinds.filter(F.col("is_number") & (F.col("n_distinct") > n)).select(
-        "column_name",
-        F.posexplode(F.array("low", "high")).alias("position", "number_value"),
-    ).select(
-        "column_name",
-        (F.col("position") + 1).alias("rank"),
-        F.lit(None).cast("string").alias("value"),
-        "number_value",
+        .select("column_name", "rank", F.lit(None).cast("string").alias("value"), "number_value")
     )
-    return words.unionByName(few).unionByName(many)
+    many = df.sparkSession.createDataFrame(ends, words.schema)
+    return words.unionByName(lowest).unionByName(many)
 
 
 def date_range(df: DataFrame) -> DataFrame:
