@@ -2,7 +2,7 @@
 
 One column may mix ISO, US, day-first and written-out dates. A cell is first
 sent by its look to one rewrite into "year-month-day [clock]" text, then one
-cast reads it. The cast is a plain parser: no formatter to choose, no exception
+cast reads it; what none of the rewrites knows goes word by word (`date_words`). The cast is a plain parser: no formatter to choose, no exception
 for a bad cell and no session time zone. A cell meets two or three patterns at
 most, and the common year-first form only one.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from absentia.functions.date_words import canonical
 from absentia.functions.lateral import with_computed
 from absentia.functions.text import ref, strip
 
@@ -35,6 +36,7 @@ _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 # Two-digit years from 69 on are in the 1900s.
 _SHORT_YEAR_PIVOT = "69"
 _READABLE = rf"^({_YEAR}-.*?)\s*(?:[aApP][mM])?$"
+_LONGEST = 60
 _BARE_CLOCK = r"^\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?(\s*[aApP][mM])?$"
 
 
@@ -89,12 +91,28 @@ def _read(written: Column, text: Column) -> Column:
     )
 
 
-def parse_mixed_date(c: Column) -> Column:
-    """`timestamp_ntz` from text in any accepted shape, null if none fits."""
+def parse_common_date(c: Column) -> Column:
+    """`timestamp_ntz` from text in one of the common shapes, null if none fits."""
     text = strip(c)
     return _read(_year_month_day(text), text)
 
 
+def parse_free_date(c: Column) -> Column:
+    """`timestamp_ntz` from text in any wording `date_words` lists, null if none fits."""
+    text = strip(c)
+    # A cell without a digit, or one as long as a sentence, is no date in any wording.
+    worth = (F.length(text) <= _LONGEST) & text.rlike(r"\d")
+    return F.regexp_extract(canonical(F.when(worth, text)), _READABLE, 1).try_cast("timestamp_ntz")
+
+
+def parse_mixed_date(c: Column) -> Column:
+    """`timestamp_ntz` from text in any accepted shape, null if none fits.
+
+    Only what has none of the common shapes is looked at word by word.
+    """
+    return F.coalesce(parse_common_date(c), parse_free_date(c))
+
+
 def as_moment(c: Column, dtype: T.DataType) -> Column:
     """A date-like column as `timestamp_ntz`; text is parsed, the rest is cast."""
     if isinstance(dtype, T.TimestampNTZType):

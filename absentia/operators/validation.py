@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -55,9 +56,10 @@ def _any_value(df: DataFrame) -> Column:
     return reduce(lambda a, b: a | b, [ref(c).isNotNull() for c in record_columns(df)])
 
 
-def flagged(df: DataFrame) -> DataFrame:
-    """The typed frame plus whether a row has content, read off the raw cells."""
-    marked = df.select("*", _any_value(df).alias("_content"))
+def flagged(df: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
+    """The typed frame plus whether a row has content, and what else is to be read off
+    the raw cells."""
+    marked = df.select("*", _any_value(df).alias("_content"), *also)
     return _typed(marked)
 
 

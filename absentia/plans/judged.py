@@ -51,9 +51,12 @@ def _named_checks(columns: Sequence[str]) -> dict[str, Column]:
     return checks
 
 
-def judge(renamed: DataFrame, filters: RowFilters, config: RuleConfig) -> DataFrame:
-    """All rows, dates and durations typed, with `_fell` and the checks."""
-    marked = flagged(renamed)
+def judge(
+    renamed: DataFrame, filters: RowFilters, config: RuleConfig, also: Sequence[Column] = ()
+) -> DataFrame:
+    """All rows, dates and durations typed, with `_fell` and the checks; `also` are
+    columns to be read off the raw cells."""
+    marked = flagged(renamed, also)
     readable = ref(DATE).isNotNull() if DATE in marked.columns else F.lit(True)
     fell = (
         F.when(~rows_wanted(marked, filters), FILTERED)
@@ -63,7 +66,7 @@ def judge(renamed: DataFrame, filters: RowFilters, config: RuleConfig) -> DataFr
     for name, keep in gated_rules(marked, config):
         if keep is not None:
             fell = fell.when(~keep, name)
-    columns = record_columns(marked)
+    columns = record_columns(renamed)
     verdicts = {f"_{c}": F.coalesce(v, F.lit(False)) for c, v in _named_checks(columns).items()}
     return with_computed(marked, {"_fell": fell, **verdicts}).drop("_content")
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from absentia.functions.text import null_if_missing, ref
 from absentia.operators.columns import rename_map
 from absentia.sources.headers import NAMED_FILES, Layout, catalogue, header_names
+from absentia.sources.storage import exists, publish
 from absentia.vocabulary import ROW_ORDER
 
 _RECORD = "_record"
+_MANIFEST = "_manifest"
 _BROKEN = (
     "a record with an odd number of quote marks: a cell holds a line break. "
     "Read with multi_line=True, or with check_records=False to take lines as records"
@@ -23,7 +26,7 @@ def _options(multi_line: bool) -> dict:
     return {"escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "encoding": "UTF-8"}
 
 
-def _listed(paths: str | Sequence[str]) -> list[str]:
+def listed(paths: str | Sequence[str]) -> list[str]:
     paths = [paths] if isinstance(paths, str) else list(paths)
     for path in paths:
         last = path.rstrip("/").rsplit("/", 1)[-1]
@@ -36,7 +39,7 @@ def layouts_of(
     spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False
 ) -> list[Layout]:
     """The layouts under the paths, the commonest first; an error if no file has a line."""
-    found = catalogue(spark, _listed(paths), multi_line)
+    found = catalogue(spark, listed(paths), multi_line)
     if not found:
         raise ValueError("the file is empty")
     return found
@@ -60,7 +63,7 @@ def scan_layout(
         spark.read.schema(T.StructType(fields))
         .options(header=True, columnNameOfCorruptRecord=_RECORD, columnPruning=not checked)
         .options(**_options(multi_line))
-        .csv(list(layout.files) if layout.files else _listed(paths))
+        .csv(list(layout.files) if layout.files else listed(paths))
     )
     columns = [null_if_missing(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)]
     if with_row_order:
@@ -170,13 +173,63 @@ def scan_known(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _shown(df: DataFrame, shown: Mapping[str, str] | None) -> list[Column]:
+    names = {c: (shown or {}).get(c, c) for c in df.columns if c != ROW_ORDER}
+    return [ref(c).alias(n) for c, n in names.items()]
+
+
 def sink_csv(df: DataFrame, folder: str, shown: Mapping[str, str] | None = None) -> None:
     """Write all rows as CSV with a header, under display names if given."""
-    names = {c: (shown or {}).get(c, c) for c in df.columns if c != ROW_ORDER}
     # Quote marks double inside cells, as the scan expects; blanks around text stay.
-    df.select([ref(c).alias(n) for c, n in names.items()]).write.options(
+    df.select(_shown(df, shown)).write.options(
         header=True,
         escape='"',
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     ).csv(folder)
+
+
+def export_csv(
+    df: DataFrame,
+    folder: str,
+    order_by: Sequence[str] = (ROW_ORDER,),
+    shown: Mapping[str, str] | None = None,
+) -> None:
+    """Write all rows as CSV parts that follow one another, and a manifest of them.
+
+    Rows are dealt out by ranges of the order, so part after part gives the whole in
+    order. Parts and manifest are written aside and published as `folder` in one step:
+    an export that stops half way leaves no folder. An existing folder is an error.
+    """
+    spark = df.sparkSession
+    if exists(spark, folder):
+        raise ValueError(f"the folder exists: {folder}")
+    parent, _, name = folder.rstrip("/").rpartition("/")
+    staged = f"{parent}/_{name}-{uuid.uuid4().hex}"
+    order = [ref(c) for c in order_by]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sink_csv(dealt, staged, shown)
+    cells = spark.read.options(header=True, **_options(multi_line=True)).csv(staged)
+    # Part files are numbered by range. A row for each part.
+    parts = cells.groupBy(F.col("_metadata.file_name").alias("part")).agg(F.count("*").alias("n_rows"))
+    numbered = parts.withColumn("place", F.regexp_extract("part", r"^part-(\d+)", 1).cast("int"))
+    numbered.write.parquet(f"{staged}/{_MANIFEST}")
+    if not publish(spark, staged, folder):
+        raise ValueError(f"the folder exists: {folder}")
+
+
+def export_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """place, part, n_rows of an export; reading parts by place gives the order."""
+    return spark.read.parquet(f"{folder}/{_MANIFEST}").select("place", "part", "n_rows").orderBy("place")
+
+
+def read_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of an export with `ROW_ORDER`: the place of the part, then of the row."""
+    first = export_manifest(spark, folder).head()
+    if first is None:
+        raise ValueError(f"the export has no rows: {folder}")
+    scanned = scan_csv(spark, folder, multi_line=True, with_row_order=True)
+    file = F.substring_index(F.col(f"{ROW_ORDER}.file"), "/", -1)
+    place = F.regexp_extract(file, r"^part-(\d+)", 1).cast("int")
+    order = F.struct(place.alias("place"), F.col(f"{ROW_ORDER}.row").alias("row"))
+    return scanned.withColumn(ROW_ORDER, order)

@@ -98,7 +98,7 @@ def _file_starts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return lines.mapInArrow(_first_lines(_LINES), "file string, lines array<string>")
 
 
-def _as_path(uri: str) -> str:
+def as_path(uri: str) -> str:
     """A file's address as a path to read: no escapes of a URI, nothing to expand."""
     plain = unquote(uri)
     return "".join("\\" + c if c in "*?[]{}\\" else c for c in plain)
@@ -127,7 +127,7 @@ def catalogue(spark: SparkSession, paths: Sequence[str], multi_line: bool = Fals
     if len(layouts) > 1:
         for r in starts.collect():
             cells, _ = _first_record(list(r["lines"]), multi_line)
-            files.setdefault(tuple(cells), []).append(_as_path(r["file"]))
+            files.setdefault(tuple(cells), []).append(as_path(r["file"]))
     listed = [
         Layout(cells, n, example, has_rows, tuple(sorted(files[cells])) if files else None)
         for cells, (n, example, has_rows) in layouts.items()

@@ -1,4 +1,4 @@
-"""History of ratings: one appended row per run, successful or not."""
+"""History of ratings: one row per run, successful or not, added once."""
 
 from __future__ import annotations
 
@@ -7,9 +7,12 @@ import traceback
 import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from absentia.sources.storage import folders_in, publish, remove
+
 RUN_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -60,8 +63,31 @@ def run_row(
     return base.select(columns)
 
 
-def append_run(row: DataFrame, folder: str) -> None:
-    row.write.mode("append").parquet(folder)
+def append_run(row: DataFrame, folder: str) -> bool:
+    """Add a history row; False if its run is in the history already.
+
+    The row is written aside and then published under its run's name in one step, so
+    a reader never meets half of it, an attempt that died leaves nothing, and a second
+    attempt adds nothing. A run is told by its run_id; a failed one, or one without an
+    id, is an event of its own.
+    """
+    spark = row.sparkSession
+    staged = f"{folder}/_staging/{uuid.uuid4().hex}"
+    row.write.parquet(staged)
+    (written,) = spark.read.schema(RUN_SCHEMA).parquet(staged).select("id", "run_id", "status").collect()
+    keyed = written["run_id"] is not None and written["status"] == "success"
+    if keyed and _has_run(spark, folder, written["run_id"]):
+        remove(spark, staged)
+        return False
+    name = f"run-{quote(written['run_id'], safe='')}" if keyed else f"event-{written['id']}"
+    return publish(spark, staged, f"{folder}/{name}")
+
+
+def _has_run(spark: SparkSession, folder: str, run_id: str) -> bool:
+    if not folders_in(spark, folder):
+        return False
+    same = (F.col("run_id") == run_id) & (F.col("status") == "success")
+    return not read_runs(spark, folder).where(same).isEmpty()
 
 
 def append_failed_run(
@@ -80,4 +106,22 @@ def append_failed_run(
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(RUN_SCHEMA).parquet(folder)
+    """The history, each row once, also while it is being compacted."""
+    files = spark.read.schema(RUN_SCHEMA).option("recursiveFileLookup", True)
+    return files.parquet(folder).dropDuplicates(["id"])
+
+
+def compact_runs(spark: SparkSession, folder: str) -> None:
+    """Many small files into one folder. Rows that come meanwhile stay as they are.
+
+    The new folder is published before the old ones go; what is in both is read once.
+    """
+    old = folders_in(spark, folder)
+    if not old:
+        return
+    staged = f"{folder}/_staging/{uuid.uuid4().hex}"
+    rows = spark.read.schema(RUN_SCHEMA).parquet(*[f"{folder}/{n}" for n in old])
+    rows.dropDuplicates(["id"]).write.parquet(staged)
+    if publish(spark, staged, f"{folder}/compacted-{uuid.uuid4().hex}"):
+        for name in old:
+            remove(spark, f"{folder}/{name}")

@@ -16,7 +16,8 @@ from absentia.plans.rate import rate_adaptive
 # These write and read files as they are built; their plans are those of a scan.
 WRITES = {"scan_csv", "sink_csv", "rate_end_to_end", "append_run", "append_failed_run",
           "scan_known_layouts", "scan_column_orders", "header_catalogue", "rate_two_layouts",
-          "rate_file_counts"}
+          "rate_file_counts", "parse_dates_once", "append_run_twice", "export_csv",
+          "first_rows", "date_mismatches", "shared_profiles"}
 
 
 def _plan(df):

@@ -11,14 +11,17 @@ from absentia.functions.numbers import round6
 from absentia.functions.text import money
 from absentia.operators import profile, rating, totals
 from absentia.operators.columns import require_columns
+from absentia.operators.staff_bitmaps import distinct_staff, staff_bitmaps, staff_numbers
 from absentia.plans import report
 from absentia.plans.cleaning import clean_adaptive, clean_exact
 from absentia.plans.end_to_end import rate_file
 from absentia.plans.judged import row_counts
 from absentia.plans.rate import RatingTables, rate_adaptive, rate_exact
-from absentia.sources.csv_files import sink_csv
-from absentia.sources.runs import append_failed_run, append_run, read_runs, run_row
-from absentia.sources.storage import new_folder
+from absentia.plans.shared_scan import profiles_of
+from absentia.sources.csv_files import export_csv, sink_csv
+from absentia.sources.first_rows import date_mismatches, first_rows
+from absentia.sources.runs import append_failed_run, append_run, compact_runs, read_runs, run_row
+from absentia.sources.storage import new_folder, settle
 from absentia.vocabulary import KEEP_AS_IS
 from workload import sql
 from workload.fixtures import RAW_COLUMNS, absences, raw_absences
@@ -413,6 +416,102 @@ def _distinct_types(spark, sf):
     return profile.distinct_types(absences(spark, sf, ["Employee Type"]))
 
 
+_FILE_ORDER = ["l_orderkey", "l_linenumber", "Date", "Employee Identifier", "School Year"]
+_FILE_ORDER_SQL = "l_orderkey, l_linenumber, date_text NULLS FIRST, e NULLS FIRST, sy NULLS FIRST"
+
+
+def _ordered_export(spark: SparkSession, sf: str) -> str:
+    folder = new_folder(spark, "ordered-csv")
+    export_csv(raw_absences(spark, sf, _FILE_ORDER), folder, _FILE_ORDER)
+    return folder
+
+
+@query("first_rows", f"""WITH {sql.RAW} SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey,
+  CAST(l_linenumber AS VARCHAR) AS l_linenumber, date_text AS "Date", e AS "Employee Identifier",
+  sy AS "School Year" FROM raw ORDER BY raw.{_FILE_ORDER_SQL.replace(", l_line", ", raw.l_line", 1)} LIMIT 5000""")
+def _first_rows(spark, sf):
+    return first_rows(spark, _ordered_export(spark, sf))
+
+
+@query("date_mismatches", f"""WITH {sql.RAW}, head AS (SELECT * FROM raw ORDER BY {_FILE_ORDER_SQL} LIMIT 20)
+  SELECT 'School Year ' || sy || ' has date ' || date_text AS issue FROM (
+    SELECT * FROM head WHERE NOT ({sql.RULE3}) ORDER BY {_FILE_ORDER_SQL} LIMIT 10)""")
+def _date_mismatches(spark, sf):
+    return date_mismatches(spark, _ordered_export(spark, sf))
+
+
+_SHARED = ["Date", "School Year", "Employee Identifier", "Employee Type", "Absence Type", "Duration",
+           "Filled", "Needs Substitute"]
+
+
+def _shared_sql() -> str:
+    cells = dict(_PROFILED) | {"Absence Type": "atype", "Filled": "filled"}
+    valid = "NOT blank AND d IS NOT NULL"
+    steps = {
+        "original_rows": "true", "after_validation": "d IS NOT NULL",
+        "after_rule1": "d IS NOT NULL AND NOT rule1_drops",
+        "after_rule2": f"d IS NOT NULL AND NOT rule1_drops AND {sql.RULE2}",
+    }
+    last = f"{steps['after_rule2']} AND {sql.RULE3}"
+    steps |= {"after_rule3": last, "final_rows": last, "rows_removed": f"NOT ({last})"}
+    checks = {
+        "missing_required_columns": "false", "empty_rows": "blank", "bad_dates": "NOT blank AND d IS NULL",
+        "negative_durations": f"{valid} AND dur < 0",
+        "malformed_school_years": f"{valid} AND sy IS NOT NULL AND sy NOT LIKE '____-____'",
+        "missing_employee_ids": f"{valid} AND e IS NULL", "rows_removed": f"NOT ({valid})", "final_rows": valid,
+    }
+    rows = [("nulls", c, f"{cells[c]} IS NULL") for c in _SHARED]
+    rows += [("checks", k, v) for k, v in checks.items()] + [("steps", k, v) for k, v in steps.items()]
+    parts = [f"SELECT '{s}' AS section, '{k}' AS name, CAST(count(*) FILTER (WHERE {v}) AS VARCHAR) AS value FROM raw"
+             for s, k, v in rows]
+    parts += [f"SELECT 'dates', '{e}', strftime({e}(d), '%Y-%m-%d %H:%M:%S') FROM raw" for e in ("min", "max")]
+    parts.append("SELECT 'types', etype, etype FROM (SELECT DISTINCT etype FROM raw WHERE trim(etype) <> '')")
+    return f"WITH {sql.RAW} " + " UNION ALL ".join(parts)
+
+
+@query("shared_profiles", _shared_sql())
+def _shared_profiles(spark, sf):
+    """Null counts, validation, cleaning steps, date range and types, all from one scan."""
+    found = profiles_of(raw_absences(spark, sf, _SHARED))
+
+    def rows(section: str, df: DataFrame, name, value) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), name.alias("name"), value.cast("string").alias("value"))
+
+    steps = found.cleaning_stats
+    cells = [x for c in steps.columns for x in (F.lit(c), F.col(c).cast("bigint"))]
+    steps = steps.select(F.stack(F.lit(len(steps.columns)), *cells).alias("name", "n"))
+    dates = found.date_range.select(
+        F.stack(F.lit(2), F.lit("min"), "min_date", F.lit("max"), "max_date").alias("name", "d")
+    )
+    return reduce(DataFrame.unionByName, [
+        rows("nulls", found.null_counts, F.col("column_name"), F.col("n_nulls")),
+        rows("checks", found.validation_report, F.col("check"), F.col("n")),
+        rows("steps", steps, F.col("name"), F.col("n")),
+        rows("dates", dates, F.col("name"), F.date_format("d", "yyyy-MM-dd HH:mm:ss")),
+        rows("types", found.distinct_types, F.col("employee_type"), F.col("employee_type")),
+    ])
+
+
+@query("staff_of_years", f"""WITH {sql.CLEANED}, years AS (
+    SELECT DISTINCT sy FROM cleaned WHERE sy IS NOT NULL), unions AS (
+    SELECT a.sy AS first_year, b.sy AS last_year FROM years a JOIN years b ON a.sy <= b.sy)
+  SELECT first_year, last_year, count(DISTINCT e) AS total_staff, round(sum(days)::DOUBLE, 6) AS total_days
+  FROM unions JOIN cleaned ON sy BETWEEN first_year AND last_year GROUP BY ALL""")
+def _staff_of_years(spark, sf):
+    """Distinct staff and days of every run of school years, from one table of bitmaps."""
+    book = settle(_book(spark, sf), "ledger")
+    bitmaps = settle(staff_bitmaps(book, staff_numbers(book)), "bitmaps")
+    # Years are few; each row below is a bitmap of a year.
+    years = bitmaps.where("school_year IS NOT NULL").select("school_year").distinct()
+    ends = F.array_sort(F.collect_set("school_year"))
+    runs = years.agg(ends.alias("y")).select(F.posexplode("y").alias("i", "first_year"), "y").select(
+        "first_year", F.posexplode(F.expr("slice(y, i + 1, size(y))")).alias("j", "last_year"), "y", "i"
+    ).select("first_year", "last_year", F.explode(F.expr("slice(y, i + 1, j + 1)")).alias("school_year"))
+    of_runs = runs.join(bitmaps, "school_year")
+    found = distinct_staff(of_runs, ["first_year", "last_year"])
+    return found.withColumn("total_days", round6(F.col("total_days")))
+
+
 # --- reports -----------------------------------------------------------------
 
 
@@ -633,12 +732,15 @@ _RUN_COLUMNS = ["user_email", "filters_json", "rows_raw", "rows_selected", "rows
                 "total_teachers", "total_premium", "status", "error_message", "step", "run_id"]
 
 
-@query("append_run", f"""WITH {sql.summary(5, 10, sql.RAW + ", selected AS (SELECT * FROM raw WHERE etype IN ('Teacher', 'Aide')), cleaned AS (SELECT *, " + sql.DAYS_RAW + " AS days FROM selected WHERE d IS NOT NULL AND NOT rule1_drops AND " + sql.RULE3 + ")")}
+_RUN_SQL = (f"""WITH {sql.summary(5, 10, sql.RAW + ", selected AS (SELECT * FROM raw WHERE etype IN ('Teacher', 'Aide')), cleaned AS (SELECT *, " + sql.DAYS_RAW + " AS days FROM selected WHERE d IS NOT NULL AND NOT rule1_drops AND " + sql.RULE3 + ")")}
   SELECT 'rater@example.org' AS user_email, '{{"employee_type": ["Teacher", "Aide"]}}' AS filters_json,
     (SELECT count(*) FROM raw) AS rows_raw, (SELECT count(*) FROM selected) AS rows_selected,
     (SELECT count(*) FROM cleaned) AS rows_cleaned, overall_total_staff AS total_teachers,
     total_premium, 'success' AS status, CAST(NULL AS VARCHAR) AS error_message,
     CAST(NULL AS VARCHAR) AS step, 'run-1' AS run_id FROM summary""")
+
+
+@query("append_run", _RUN_SQL)
 def _append_run(spark, sf):
     runs = new_folder(spark, "runs")
     rate_file(
@@ -649,6 +751,22 @@ def _append_run(spark, sf):
     return read_runs(spark, runs).select(_RUN_COLUMNS)
 
 
+@query("append_run_twice", _RUN_SQL)
+def _append_run_twice(spark, sf):
+    """Two attempts at one run, then the history in fewer files, then a third attempt."""
+    runs = new_folder(spark, "runs")
+    export = _export(spark, sf)
+    for attempt in range(3):
+        rate_file(
+            spark, export, params=OVERALL, runs_folder=runs, mapping=_KEEP_HOURS,
+            filters=RowFilters(employee_type=("Teacher", "Aide")),
+            user_email="rater@example.org", run_id="run-1",
+        )
+        if attempt == 1:
+            compact_runs(spark, runs)
+    return read_runs(spark, runs).select(_RUN_COLUMNS)
+
+
 @query("append_failed_run", """SELECT 'error' AS status, 'calculate' AS step,
   count(*) AS rows_raw, true AS has_traceback FROM lineitem""")
 def _append_failed_run(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from absentia.config import RowFilters, RuleConfig
 from absentia.functions.dates import (
@@ -18,6 +18,7 @@ from absentia.functions.numbers import number_of, round6
 from absentia.functions.text import clean_name, norm_token
 from absentia.operators import columns as cols
 from absentia.operators import filters, rules
+from absentia.operators.coded import parse_dates_once
 from absentia.operators.totals import first_row_per_employee, rating_frame
 from absentia.operators.validation import (
     cleaning_stats,
@@ -27,10 +28,20 @@ from absentia.operators.validation import (
     validation_report,
 )
 from absentia.plans.cleaning import clean_adaptive, clean_exact
-from absentia.sources.csv_files import layouts_of, require_rows, scan_csv, scan_known, sink_csv
-from absentia.sources.storage import new_folder
+from absentia.sources.csv_files import (
+    export_csv,
+    export_manifest,
+    layouts_of,
+    read_export,
+    require_rows,
+    scan_csv,
+    scan_known,
+    sink_csv,
+)
+from absentia.sources.storage import new_folder, settle
+from absentia.vocabulary import ROW_ORDER
 from workload import sql
-from workload.fixtures import ORDER_COLUMNS, RAW_COLUMNS, absences, raw_absences
+from workload.fixtures import ORDER_COLUMNS, RAW_COLUMNS, absences, raw_absences, table as fixture_table
 from workload.registry import query
 
 KEYS = list(ORDER_COLUMNS)
@@ -122,6 +133,25 @@ def _sink_csv(spark, sf):
     return scan_csv(spark, folder)
 
 
+@query("export_csv", f"""WITH {sql.RAW} SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber,
+    date_text NULLS FIRST, e NULLS FIRST, sy NULLS FIRST) AS line, CAST(l_orderkey AS VARCHAR) AS "Order",
+  CAST(l_linenumber AS VARCHAR) AS "Line", date_text AS "Date", e AS "Emp ID" FROM raw""")
+def _export_csv(spark, sf):
+    """The records in a total order, as numbered lines of the parts of an export."""
+    folder = new_folder(spark, "ordered-csv")
+    df = raw_absences(spark, sf, [*KEYS, "Date", "Employee Identifier", "School Year"])
+    order = [*KEYS, "Date", "Employee Identifier", "School Year"]
+    shown = {"l_orderkey": "Order", "l_linenumber": "Line", "Employee Identifier": "Emp ID"}
+    export_csv(df, folder, order, shown)
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each part file.
+    starts = export_manifest(spark, folder).withColumn("start", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
+    rows = read_export(spark, folder).withColumn("place", F.col(f"{ROW_ORDER}.place"))
+    within = Window.partitionBy("place").orderBy(f"{ROW_ORDER}.row")
+    numbered = rows.withColumn("at", F.row_number().over(within)).join(starts, "place")
+    return numbered.select((F.col("start") + F.col("at")).alias("line"), "Order", "Line", "Date", "Emp ID")
+
+
 @query("scan_nonempty", "SELECT count(*) AS n_rows FROM lineitem")
 def _scan_nonempty(spark, sf):
     return require_rows(absences(spark, sf, ["Date"])).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -422,6 +452,49 @@ def _parse_mixed_date(spark, sf):
                      parse_mixed_date(F.col("Date")).alias("parsed"))
 
 
+@query("parse_dates_once", f"""WITH {sql.RAW} SELECT {_ROW}, date_text, d AS parsed FROM raw""")
+def _parse_dates_once(spark, sf):
+    stored = settle(raw_absences(spark, sf, [*KEYS, "Date"]), "dates")
+    return parse_dates_once(stored.withColumnRenamed("Date", "date_text"), "date_text", "parsed")
+
+
+# --- fixed values: wordings of a date, as Spark and DuckDB write them, and the clock
+# that each shows (minutes of the day).
+_WORDINGS = (
+    ("d MMMM yyyy", "%-d %B %Y", 0), ("MMMM d yyyy", "%B %-d %Y", 0),
+    ("EEE, d MMM yyyy", "%a, %-d %b %Y", 0), ("EEEE, MMMM d, yyyy", "%A, %B %-d, %Y", 0),
+    ("yyyy.MM.dd", "%Y.%m.%d", 0), ("yyyy MM dd", "%Y %m %d", 0), ("d-MMM-yy", "%-d-%b-%y", 0),
+    ("yyyyMMdd 10:00", "%Y%m%d 10:00", 600), ("yyyyMMdd'T'1000", "%Y%m%dT1000", 600),
+    ("yyyyMMdd100000", "%Y%m%d100000", 600), ("d'th of' MMMM yyyy", "%-dth of %B %Y", 0),
+    ("MMM d'th' yyyy", "%b %-dth %Y", 0), ("MMMM d, yyyy 'at 5:30 PM'", "%B %-d, %Y at 5:30 PM", 1050),
+    ("MMM'.' d, yyyy", "%b. %-d, %Y", 0), ("yyyy MMMM d", "%Y %B %-d", 0), ("yyyy-MMM-dd", "%Y-%b-%d", 0),
+    ("MM.dd.yyyy", "%m.%d.%Y", 0), ("M d yyyy", "%-m %-d %Y", 0), ("M-d-yy", "%-m-%-d-%y", 0),
+    ("d/MMM/yyyy", "%-d/%b/%Y", 0), ("'10:30' d MMMM yyyy", "10:30 %-d %B %Y", 630),
+    ("'5:30 pm' MMMM d, yyyy", "5:30 pm %B %-d, %Y", 1050), ("d MMM yyyy '5pm'", "%-d %b %Y 5pm", 1020),
+    ("d MMMM yyyy '12 am'", "%-d %B %Y 12 am", 0), ("MMMM d, yyyy, '10:00 a.m.'", "%B %-d, %Y, 10:00 a.m.", 600),
+    ("'on' MMMM d yyyy", "on %B %-d %Y", 0), ("ddMMMyyyy", "%d%b%Y", 0), ("yyyy.M.d 10:00", "%Y.%-m.%-d 10:00", 600),
+    ("MMMM d, ''yy", "%B %-d, '%y", 0), ("yyyy-MM-dd EEE", "%Y-%m-%d %a", 0),
+    ("EEE yyyy-MM-dd", "%a %Y-%m-%d", 0), ("'8:30 AM' M/d/yyyy", "8:30 AM %-m/%-d/%Y", 510),
+)
+_STYLE = f"((l_orderkey + l_linenumber) % {len(_WORDINGS)})"
+
+
+@query("parse_date_wordings", f"""SELECT {_ROW}, CASE {_STYLE} """ + " ".join(
+    f"WHEN {i} THEN strftime(l_shipdate, '{f.replace(chr(39), chr(39) * 2)}')"
+    for i, (_, f, _) in enumerate(_WORDINGS)
+) + f""" END AS wording, date_trunc('day', l_shipdate) + CASE {_STYLE} """ + " ".join(
+    f"WHEN {i} THEN INTERVAL '{m}' MINUTE" for i, (_, _, m) in enumerate(_WORDINGS)
+) + " END AS parsed FROM lineitem")
+def _parse_date_wordings(spark, sf):
+    shipped = fixture_table(spark, sf, "lineitem").select(*KEYS, "l_shipdate")
+    style = (F.col("l_orderkey") + F.col("l_linenumber")) % len(_WORDINGS)
+    wording = F.lit(None).cast("string")
+    for i, (shape, _, _) in enumerate(_WORDINGS):
+        wording = F.when(style == i, F.date_format("l_shipdate", shape)).otherwise(wording)
+    cells = shipped.select(*KEYS, wording.alias("wording"))
+    return cells.withColumn("parsed", parse_mixed_date(F.col("wording")))
+
+
 _Y = "(year(l_shipdate) - CASE WHEN month(l_shipdate) < 7 THEN 1 ELSE 0 END)"
 
 
