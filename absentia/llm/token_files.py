@@ -34,6 +34,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -45,10 +46,11 @@ PERCENTILE = 90
 FRAME_IDS = 1 << 16
 PART_BYTES = 24 << 20
 YOUNG_PIECES = 400_000
-SLICE = 2 << 20
+SLICE = 4 << 20
 _JOINED = 20_000
-# Marks that follow words.
+# Marks that follow words, and letters and digits by any version of Unicode.
 _MARKS = ".,;:!?%#$&*|)"
+_LETTERS = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 
 _FRAMES = pa.schema([
     ("part", pa.int32()), ("frame", pa.int32()), ("n_tokens", pa.int64()),
@@ -167,71 +169,70 @@ class _Encoder:
                 yield data[start:end]
                 start = end + 4
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of the pieces not known yet become known; returns those of long ones."""
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; those not known yet become known, but for long ones."""
         if len(self.young) > YOUNG_PIECES:
             self.young, self.old = {}, self.young
-        missing = pieces - self.young.keys()
-        for p in missing & self.old.keys():
-            self.young[p] = self.old[p]
-        missing -= self.young.keys()
-        # A word and the marks after it are cut apart by the library, too.
-        cores = {}
-        for p in missing:
-            core = p.rstrip(_MARKS)
-            if core != p and core and core[-1].isalnum():
-                cores[p] = core
-        plain = (missing - cores.keys()) | set(cores.values()) | {p[len(c) :] for p, c in cores.items()}
-        plain = [p for p in plain if p not in self.young and p != "\n"]
-        found = dict(zip(plain, self._encode(plain)))
-        if "\n" in missing:
-            found["\n"] = np.array([self.separator], "<u4").tobytes()
-        both = {}
-        young = self.young
-        for p, core in cores.items():
-            tail = p[len(core) :]
-            both[p] = (found.get(core) or young[core]) + (found.get(tail) or young[tail])
-        both |= found
-        long = {p: v for p, v in both.items() if len(p) > 64}
-        for p in long:
-            del both[p]
-        young.update(both)
-        return long
+        young, old = self.young, self.old
+        found = list(map(young.get, pieces))
+        missing = [p for p, ids in zip(pieces, found) if ids is None]
+        if not missing:
+            return found
+        new = {p: old[p] for p in missing if p in old}
+        wanted = [p for p in missing if p not in new and p != "\n"]
+        new.update(zip(wanted, self._encode(wanted)))
+        new["\n"] = np.array([self.separator], "<u4").tobytes()
+        young.update(new)
+        for p in [p for p in new if len(p) > 64]:
+            del young[p]
+        return [new[p] if ids is None else ids for p, ids in zip(pieces, found)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.separator is None:
             return [self._ids(t).tobytes() for t in texts]
-        parts = [_pieces(t) for t in texts]
-        long = self.learn(set().union(*[p for p in parts if p is not None]))
-        young, out = self.young, []
-        for text, ps in zip(texts, parts):
-            if ps is None:
-                out.append(self._ids(text).tobytes())
-            elif long:
-                out.append(b"".join([young[p] if p in young else long[p] for p in ps]))
-            else:
-                out.append(b"".join(map(young.__getitem__, ps)))
-        return out
+        whole = [None if _cuttable(t) else self._ids(t).tobytes() for t in texts]
+        cut = [t for t, ids in zip(texts, whole) if ids is None]
+        parts = iter(self._of_pieces(cut) if cut else ())
+        return [next(parts) if ids is None else ids for ids in whole]
+
+    def _of_pieces(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts that may be cut: each distinct piece is looked up once, and the
+        ids of all places are taken from those."""
+        marked = pa.array(texts, pa.large_string())
+        # A word and the marks after it are cut apart by the library, too.
+        marked = pc.replace_substring_regex(marked, f"([{_LETTERS}])([{_MARKS}])", "\\1\x00\\2")
+        for mark, cut in ((" ", "\x00 "), ("\n", "\x00\n\x00")):
+            marked = pc.replace_substring(marked, mark, cut)
+        lists = pc.split_pattern(marked, "\x00")
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        ids = self.ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        ends = np.append(0, np.cumsum(counts))
+        # Where each id stands: the start of its piece, plus its place in the piece.
+        there = np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], counts)
+        data = np.frombuffer(b"".join(ids), "<u4")[there].tobytes()
+        cuts = (ends[lists.offsets.to_numpy()] * 4).tolist()
+        for start, end in zip(cuts, cuts[1:]):
+            yield data[start:end]
 
 
 _encoder = cache(_Encoder)
 
 
-def _pieces(text: str) -> list[str] | None:
-    """A text cut at spaces and line ends, or None if it has to be encoded whole.
+def _cuttable(text: str) -> bool:
+    """Whether a text may be cut at spaces and line ends, and its parts encoded apart.
 
     A byte-level tokenizer never joins across a space or line end between two
     characters that are no white space. Texts in which white space meets white
     space, or with control characters or unusual spaces, are not cut.
     """
-    if not text:
-        return []
-    if (
+    return not text or not (
         text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
         or "\n\n" in text or not text.replace("\n", "").isprintable()
-    ):
-        return None
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+    )
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
