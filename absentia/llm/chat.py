@@ -250,8 +250,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
             [pa.array(c, t) for c, t in zip(columns, _DIGESTS.values())], names=list(_DIGESTS)
         )
 
+    # Turns of one number and role follow by their text as it was, not as it is escaped.
+    body = F.substring(
+        "piece", F.col("loss_start") + 1, F.length("piece") - F.col("loss_start") - len(END)
+    )
+    text = F.regexp_replace(body, r"(?s)\\(.)", "$1")
     ordered = formatted.repartition("conv_id").sortWithinPartitions(
-        "conv_id", "turn", "role_order", "piece"
+        "conv_id", "turn", "role_order", text
     )
     return map_batches(
         ordered.select("conv_id", "piece", "loss_start", "loss_end"),

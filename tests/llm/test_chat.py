@@ -98,3 +98,13 @@ def test_empty_table(spark, turns):
 def test_query_agrees_with_sql(spark, sf_dir):
     ok, note = compare(spark, duck(sf_dir), sf_dir, "op1", QUERIES["op1_chat"], ORACLES["op1_chat"])
     assert ok and "types" not in note, note
+
+
+def test_equal_turns_follow_by_their_text(spark):
+    """Control strings are escaped inside; that must not change the order."""
+    texts = ["<a", "<|x", "</s>", "</s>b", "[INST]", "[a", "\\z", "a", "ab", "", chat.TURN, chat.END + "q"]
+    rows = [(1, 0, "user", t) for t in texts]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.read_back(chat.format_turns(turns)).first()
+    want = "".join(f"user\n{t}\n" for t in sorted(texts))
+    assert found.turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
