@@ -111,14 +111,15 @@ def unpack(frame: dict[str, bytes], n: int, first: int = 0, last: int | None = N
     start = np.frombuffer(frame["starts"], "<u4")[blocks].astype(np.int64)
     counts = np.frombuffer(frame["n_exceptions"], np.uint8).astype(np.int64)
     packed = np.frombuffer(frame["packed"], np.uint8)
+    words = packed.view("<u4")  # blocks are whole numbers of words
     rest = np.zeros((len(low), BLOCK), np.uint32)
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        there = start[rows][:, None] + np.arange(w * (BLOCK // 8))
-        bits = np.unpackbits(packed[there], axis=1, bitorder="little").reshape(-1, w)
-        wide = np.zeros((len(bits), 32), np.uint8)
-        wide[:, :w] = bits
-        rest[rows] = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1, BLOCK)
+        own = np.zeros((len(rows), w * (BLOCK // 32) + 1), np.uint64)
+        own[:, :-1] = words[start[rows][:, None] // 4 + np.arange(w * (BLOCK // 32))]
+        bit = np.arange(BLOCK) * w
+        two = own[:, bit // 32] | own[:, bit // 32 + 1] << np.uint64(32)
+        rest[rows] = two >> (bit % 32).astype(np.uint64) & np.uint64((1 << w) - 1)
     before = int(counts[:first].sum())
     counts = counts[blocks]
     mine = slice(before, before + int(counts.sum()))
