@@ -45,7 +45,10 @@ def _as_written(docs: DataFrame) -> Column | None:
     """The order in which rows were written, if docs was read from files; else None,
     and the order is that of doc_id."""
     try:
-        place = F.struct(docs["_metadata.file_name"], docs["_metadata.row_index"])
+        file = docs["_metadata.file_name"]
+        # By number: as text part-100000 would come before part-99999.
+        part = F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long")
+        place = F.struct(part.alias("part"), file.alias("file"), docs["_metadata.row_index"].alias("row"))
         docs.select(place)
     except AnalysisException:
         return None
