@@ -45,8 +45,8 @@ BLOCK = 128
 PERCENTILE = 90
 FRAME_IDS = 1 << 16
 PART_BYTES = 24 << 20
-YOUNG_PIECES = 400_000
-SLICE = 4 << 20
+YOUNG_PIECES = 250_000
+SLICE = 2 << 20
 # Pieces joined for one call: more of them leave the processor's caches.
 _JOINED = 100
 # Marks that follow words, and letters and digits by any version of Unicode.
@@ -281,6 +281,7 @@ def write_tokens(
                 if size >= FRAME_IDS:
                     yield _frame(part, number, ids, done)
                     number, ids, done, size = number + 1, [], [], 0
+            pa.default_memory_pool().release_unused()  # else it stays with the worker
         if ids:
             yield _frame(part, number, ids, done)
 
