@@ -31,8 +31,9 @@ from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix, RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from absentia.operators.numbering import numbered
 from absentia.sources.storage import settle
 
 SCALE, SHIFT = 64, 1_000_000
@@ -60,31 +61,6 @@ def whole_numbers(vectors: DataFrame, scale: int = SCALE, shift: int = SHIFT) ->
     return kept.where(F.size(c) == d[0]).select("vec_id", x.alias("x"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """`rows` with `at`, numbers from 0 without gaps: an offset for each file of a table,
-    and the place in the file."""
-    table = settle(rows, "vectors")
-    placed = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    # A row for each file; far fewer than rows, but not to be held in one place.
-    sizes = placed.groupBy("_file").agg(F.count("*").alias("n"))
-    offsets = settle(_running(sizes), "offsets")
-    # As many rows as files: Spark sends them to all only if their size allows.
-    met = placed.join(offsets, "_file")
-    return met.withColumn("at", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
-
-
-def _running(sizes: DataFrame) -> DataFrame:
-    """_file and the rows of all files before it: sums within hash groups, then over them."""
-    groups = 1024
-    of = sizes.withColumn("g", F.pmod(F.xxhash64("_file"), F.lit(groups)))
-    within = Window.partitionBy("g").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = of.groupBy("g").agg(F.sum("n").alias("t"))  # `groups` rows at most
-    over = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("g", F.coalesce(F.sum("t").over(over), F.lit(0)).alias("s"))
-    inside = of.select("_file", "g", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("i"))
-    return inside.join(F.broadcast(starts), "g").select("_file", (F.col("s") + F.col("i")).alias("_before"))
-
-
 def _blocks(rows: DataFrame, n: int, d: int) -> BlockMatrix:
     """Rows (index, vector) as blocks of all columns and about `BLOCK_BYTES`."""
     old = MLUtils.convertVectorColumnsFromML(rows.select("index", "vector"), "vector")
@@ -122,7 +98,7 @@ def _deviation(n: int, sums: list[int], least: list[int], most: list[int]) -> Co
 def whiten(vectors: DataFrame, most: int = 32, scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
     """vec_id, component, n, deviation, whitened, explained, identity_error."""
     spark = vectors.sparkSession
-    rows = numbered(whole_numbers(vectors, scale, shift))
+    rows = numbered(whole_numbers(vectors, scale, shift), "at")
     # As many rows as dimensions.
     stats = (
         rows.select(F.posexplode("x").alias("i", "x"))

@@ -81,7 +81,7 @@ def test_revisits_only_from_a_size_on(spark, tmp_path, pages):
 
 def test_shuffled_payloads_give_the_same(spark, tmp_path, pages, monkeypatch):
     """Heavy and light payloads take two ways; a bound of 0 makes all of them light."""
-    from absentia.llm import skew
+    from absentia.operators import skew
 
     monkeypatch.setattr(skew, "HEAVY", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)

@@ -83,7 +83,7 @@ def test_many_small_blocks_and_splits(odd, monkeypatch):
 
 def test_numbers_have_no_gaps(spark):
     rows = spark.range(1000).repartition(7).where("id % 3 > 0")
-    at = [r["at"] for r in whitening.numbered(rows).collect()]
+    at = [r["at"] for r in whitening.numbered(rows, "at").collect()]
     assert sorted(at) == list(range(len(at)))
 
 
