@@ -45,8 +45,8 @@ BLOCK = 128
 PERCENTILE = 90
 FRAME_IDS = 1 << 16
 PART_BYTES = 24 << 20
-YOUNG_PIECES = 250_000
-SLICE = 2 << 20
+KNOWN_PIECES = 400_000
+SLICE = 4 << 20
 # Pieces joined for one call: more of them leave the processor's caches.
 _JOINED = 100
 # Marks that follow words, and letters and digits by any version of Unicode.
@@ -132,11 +132,11 @@ def unpack(frame: dict[str, bytes], n: int, first: int = 0, last: int | None = N
 
 
 class _Encoder:
-    """A tokenizer, and the ids of pieces met lately as little-endian bytes.
+    """A tokenizer, and the ids of pieces met lately.
 
-    Pieces are kept in two generations: when the young one is full it becomes the
-    old one, and a piece found there is young again. So memory is bounded and
-    frequent pieces stay.
+    Known pieces are one Arrow array beside one array of all their ids, so a slice's
+    pieces are looked up in one call. When there are more than `KNOWN_PIECES`, the half
+    of that used most since the last time stays; so memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -144,11 +144,13 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         line_end = self._ids("\n")
         # Pieces can be encoded apart only if the library itself cuts the text there.
         self.separator = int(line_end[0]) if len(line_end) == 1 and self._cuts() else None
+        # These two can't be told apart in a list joined by line ends; they always stay.
+        self.known = pa.array(["", "\n"], pa.large_string())
+        self.ids, self.sizes = line_end, np.array([0, 1])
+        self.used = np.zeros(2, np.int64)
 
     def _cuts(self) -> bool:
         kind = type(self.tokenizer.pre_tokenizer).__name__
@@ -160,34 +162,40 @@ class _Encoder:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(found.ids, "<u4")
 
-    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
-        """Ids of each piece; pieces are joined by line ends, whose id parts them again."""
-        for at in range(0, len(pieces), _JOINED):
-            some = pieces[at : at + _JOINED]
-            ids = self._ids("\n".join(some))
-            ends = (np.append(np.flatnonzero(ids == self.separator), len(ids)) * 4).tolist()
-            data, start = ids.tobytes(), 0
-            for end in ends:
-                yield data[start:end]
-                start = end + 4
-
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces; those not known yet become known, but for long ones."""
-        if len(self.young) > YOUNG_PIECES:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        found = list(map(young.get, pieces))
-        missing = [p for p, ids in zip(pieces, found) if ids is None]
-        if not missing:
-            return found
-        new = {p: old[p] for p in missing if p in old}
-        wanted = [p for p in missing if p not in new and p != "\n"]
-        new.update(zip(wanted, self._encode(wanted)))
-        new["\n"] = np.array([self.separator], "<u4").tobytes()
-        young.update(new)
-        for p in [p for p in new if len(p) > 64]:
-            del young[p]
-        return [new[p] if ids is None else ids for p, ids in zip(pieces, found)]
+    def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and how many each has. Pieces are joined by line ends,
+        whose id parts them again."""
+        cuts = np.append(np.arange(0, len(pieces), _JOINED), len(pieces))
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pieces)
+        joined = pc.binary_join(lists, pa.scalar("\n", pieces.type))
+        found = [self._ids(some + "\n") for some in joined.to_pylist()]
+        ids = np.concatenate(found) if found else np.zeros(0, "<u4")
+        ends = np.flatnonzero(ids == self.separator)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def _forget(self) -> None:
+        order = np.argsort(-self.used[2:], kind="stable")[: KNOWN_PIECES // 2] + 2
+        stay = np.append([0, 1], np.sort(order))
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = self.ids[_places(starts[stay], self.sizes[stay])]
+        self.known, self.sizes = self.known.take(pa.array(stay)), self.sizes[stay]
+        self.used = np.zeros(len(stay), np.int64)
+
+    def look_up(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of these distinct pieces is among the known ones; those that were
+        not become known."""
+        if len(self.known) > KNOWN_PIECES:
+            self._forget()
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        ids, sizes = self._encode(new)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids, self.sizes = np.append(self.ids, ids), np.append(self.sizes, sizes)
+        self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        self.used[at] += 1
+        return at
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.separator is None:
@@ -207,20 +215,22 @@ class _Encoder:
             marked = pc.replace_substring(marked, mark, cut)
         lists = pc.split_pattern(marked, "\x00")
         coded = lists.flatten().dictionary_encode()
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        ids = self.ids_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        counts = sizes[at]
+        at = self.look_up(coded.dictionary)[coded.indices.to_numpy()]
+        counts = self.sizes[at]
         ends = np.append(0, np.cumsum(counts))
-        # Where each id stands: the start of its piece, plus its place in the piece.
-        there = np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], counts)
-        data = np.frombuffer(b"".join(ids), "<u4")[there].tobytes()
+        starts = np.cumsum(self.sizes) - self.sizes
+        data = self.ids[_places(starts[at], counts)].tobytes()
         cuts = (ends[lists.offsets.to_numpy()] * 4).tolist()
         for start, end in zip(cuts, cuts[1:]):
             yield data[start:end]
 
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at `starts`, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
+
+
 _encoder = cache(_Encoder)
 
 

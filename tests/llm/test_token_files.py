@@ -30,6 +30,17 @@ def test_pieces_give_the_ids_of_the_whole(plain, documents):
     assert [ids_of(d) for d in token_files.encode(texts, TOKENIZER)] == [plain(t) for t in texts]
 
 
+def test_forgotten_pieces_are_encoded_again(plain, monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_PIECES", 8)
+    encoder = token_files._Encoder(TOKENIZER)
+    texts = ["one two\nthree four", "five six seven", "", "eight nine ten two", "ten one\ntwo eleven"]
+    for _ in range(3):
+        for t in texts:
+            assert [ids_of(d) for d in encoder.encode([t, "", t])] == [plain(t), [], plain(t)]
+            assert len(encoder.known) < 8 + 5
+            assert encoder.known[:2].to_pylist() == ["", "\n"]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab Z9.,'!\n\t é’日 %)"), max_size=25))
 def test_any_text_has_the_ids_of_the_whole(plain, text):
