@@ -5,18 +5,22 @@ negation, reporting verb; marks become quotes, clause ends and line ends. Three
 transducers are composed into one: negation (its scope is a few words within the
 clause) lowers what follows, reported speech (after a reporting verb, or in quotes)
 lowers what is told, and a target within the clause raises insults and makes
-threats count. The machine runs over clauses; a clause scores what its matches
-weigh, and a document's score is a logistic model of its clause scores, so that
-words alone decide nothing.
+threats count. The machine runs over clauses; a clause weighs the sum along its path,
+and a document's score is a rising function of its heaviest clause and of all clauses
+together. Kinds of matches have no weights but the grammar's, so an aimed insult
+always scores above a plain one, that above a negated one, and none of them above it
+for being told.
 
 Learning. At most `SAMPLE_DOCS` labelled documents are looked at, chosen by a hash
 of doc_id (all, if there are fewer); rows whose crc32(doc_id as text) mod 5 is 0 are
 never among them. Copies would make their words look toxic, so only one document of
 those that share a minimum over shingle hashes stays. Words and word beginnings
 that are clearly more frequent in toxic documents of one half, and again in the other
-half, become insults, weighted by their log odds; the logistic model is fitted on the
-other half. Labels are the only thing learned from; lang, source and doc_id are no
-inputs of a score.
+half, become insults, weighted by their log odds. A threat weighs as much as the median
+insult, corrected by the labels of documents with aimed threats and no insults: where
+those are mostly clean, it weighs nothing. The two coefficients of the clause weights
+are fitted on the other half and are never negative. Labels are the only thing learned
+from; lang, source and doc_id are no inputs of a score.
 
 Edge cases: null text is empty; a text without matches has the least score, that of
 no clauses. Labels without a value are left out, several for a doc_id
@@ -47,7 +51,8 @@ KNOWN_WORDS = 300_000
 
 # Closed-class words of the languages at hand.
 NEGATIONS = frozenset(
-    "not no never without nicht kein keine keinen nie ohne pas jamais aucun sans nunca ningún sin".split()
+    "not no never without nobody none neither nor cannot isn aren wasn weren don doesn didn won nicht "
+    "kein keine keinen keiner niemand nie ohne pas jamais aucun personne sans nunca ningún nadie sin".split()
 )
 TARGETS = frozenset(
     "you your yours yourself u ya they them their du dich dir dein deine ihr euch sie tu te toi ton "
@@ -114,18 +119,21 @@ def grammar() -> Transducer:
     return compose(compose(_negation(), _reported(), _NAMES), _aimed(), _NAMES)
 
 
-_MATCHES = ("insult", "negated", "told insult", "told negated", "aimed", "aim", "aimed threat")
+_MATCHES = frozenset({"insult", "negated", "told insult", "told negated", "aimed", "aim", "aimed threat"})
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"([^\W\d_]+)|([.!?;,])|(\n)|([\"“”„«»])")
-N_FEATURES = 2 + len(_MATCHES)
+N_FEATURES = 2
+# A threat's weight counts as known from so many toxic documents before any are seen.
+_THREAT_DOCS = 3
 
 
 @dataclass
 class Lexicon:
-    """Weights of insults, by word and by beginning."""
+    """Weights of insults, by word and by beginning, and of a threat."""
 
     words: dict[str, float] = field(default_factory=dict)
     beginnings: dict[str, float] = field(default_factory=dict)
+    threat: float = 3.0
 
     def __post_init__(self):
         self.known: dict[str, float] = {}
@@ -140,16 +148,16 @@ class Lexicon:
         return found
 
 
-def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
-    """Best clause, all clauses, and sums by kind of match; None (all zero) without one."""
+def clauses(text: str, lexicon: Lexicon) -> list[tuple[float, bool]]:
+    """Weight of each clause with a match, and whether an insult is part of it."""
     text = text.lower()
     words = set(_WORD.findall(text))
     weights = {w: s for w in words if (s := lexicon.weight(w)) > 0}
-    if not weights and not (THREATS & words and TARGETS & words):
-        return None
+    if not weights and not (lexicon.threat and THREATS & words and TARGETS & words):
+        return []
     machine = grammar()
-    state, out = machine.start, dict.fromkeys(_MATCHES, 0.0)
-    clause = best = total = 0.0
+    state, found = machine.start, []
+    clause, last, insulted = 0.0, 0.0, False
     for m in _TOKEN.finditer(text):
         word, end, line, _ = m.groups()
         if word:
@@ -159,19 +167,25 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
                 else "negation" if word in NEGATIONS else "target" if word in TARGETS
                 else "report" if word in REPORTING else "other"
             )
+            if weight:
+                last, insulted = weight, True
         else:
-            name, weight = "clause" if end else "line" if line else "quote", 0.0
+            name = "clause" if end else "line" if line else "quote"
         state, kind, factor = machine.step(state, name)
-        if kind in out:
-            score = factor * (weight or 3.0)
-            out[kind] += score
-            clause += score
+        if kind in _MATCHES:
+            # A target that follows an insult aims that insult.
+            clause += factor * (lexicon.threat if kind == "aimed threat" else last)
         elif name in ("clause", "line"):
-            best, total, clause = max(best, clause), total + clause, 0.0
-    best, total = max(best, clause), total + clause
-    if not total:
-        return None
-    return np.log1p([best, total, *out.values()])
+            if clause:
+                found.append((clause, insulted))
+            clause, insulted = 0.0, False
+    return [*found, (clause, insulted)] if clause else found
+
+
+def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
+    """Heaviest clause and all clauses, on a logarithmic scale; None (all zero) without any."""
+    found = [weight for weight, _ in clauses(text, lexicon)]
+    return np.log1p([max(found), sum(found)]) if found else None
 
 
 def _word_parts(text: str) -> set[str]:
@@ -279,6 +293,30 @@ def _learn(sample: DataFrame, sizes: dict) -> Lexicon:
     return _lexicon(rows)
 
 
+def _threat_weight(sample: DataFrame, lexicon: Lexicon, sizes: dict) -> float:
+    """Log odds of documents of the first half with aimed threats and no insult; the median
+    insult's weight stands in for what `_THREAT_DOCS` toxic documents would tell."""
+    known = [*lexicon.words.values(), *lexicon.beginnings.values()]
+    typical = float(np.median(known)) if known else Lexicon.threat
+
+    def run(batches):
+        for rows, texts in slices(batches, "text"):
+            seen = [clauses(t.decode("utf-8", "replace"), lexicon) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(1), pa.array([bool(c) and not any(i for _, i in c) for c in seen])],
+                names=["toxic", "threat"],
+            )
+
+    marked = map_batches(
+        sample.where("half = 0").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")),
+        run, "toxic int, threat boolean")
+    found = marked.where("threat").agg(
+        F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
+    expected = _THREAT_DOCS * np.exp(-typical) / sizes[0, True]
+    odds = (found.t + _THREAT_DOCS) / sizes[0, True] / ((found.n - found.t) / sizes[0, False] + expected)
+    return max(0.0, float(np.log(odds)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
     sample = settle(_sample(docs, labels, limit), "toxicity-sample")
     sizes = {(r.half, r.toxic > 0): r.n for r in
@@ -288,6 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
     if not (n[0, True] and n[0, False] and n[1, True] and n[1, False]):
         return Model(Lexicon(), np.zeros(N_FEATURES), -30.0)
     lexicon = _learn(sample, n)
+    lexicon.threat = _threat_weight(sample, lexicon, n)
 
     def measured(batches):
         for rows, texts in slices(batches, "text"):
@@ -304,10 +343,22 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
     rows = map_batches(
         sample.where("half = 1").select("text", "toxic"),
         measured, "x array<double>, y int").collect()
-    weights, bias = _logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
+    weights, bias = _rising(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
     return Model(lexicon, weights, bias)
 
 
+def _rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """A logistic model whose coefficients are not negative: of both clause weights,
+    else of the heaviest clause, else of all of them, else of none."""
+    for use in ([0, 1], [0], [1], []):
+        beta, bias = _logistic(x[:, use], y)
+        if (beta >= 0).all():
+            break
+    weights = np.zeros(N_FEATURES)
+    weights[use] = beta
+    return weights, bias
+
+
 def _lexicon(rows: list[tuple[str, float, int]]) -> Lexicon:
     """Whole words, and those beginnings that stand for more than their commonest word
     and more than any longer beginning."""
@@ -328,7 +379,7 @@ def _lexicon(rows: list[tuple[str, float, int]]) -> Lexicon:
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Newton steps; the bias is not held back."""
     if not len(y):
-        return np.zeros(N_FEATURES), 0.0
+        return np.zeros(x.shape[1]), 0.0
     full = np.c_[x, np.ones(len(x))]
     keep = ridge * np.eye(full.shape[1])
     keep[-1, -1] = 1e-3

@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -43,6 +44,44 @@ def test_composition_passes_outputs_on():
         assert list(both.run(word)) == want
 
 
+def outcome(words):
+    """Weight of one clause of known words, by the grammar's rules read one by one."""
+    left, told, quoted, total, state = 0, False, False, 0.0, "none"
+    for w in words:
+        kind = ("insult" if w == "moron" else "threat" if w == "kill" else "target" if w == "you"
+                else "negation" if w == "not" else "report" if w == "said" else "quote" if w == '"' else "")
+        negated = left > 0 and kind in ("insult", "threat")
+        left = 3 if kind == "negation" else max(left - 1, 0)
+        if kind == "report":
+            told = told or not quoted
+        elif kind == "quote":
+            quoted, told = not quoted, False
+        elif kind == "insult" and (negated or told or quoted):
+            total += 4.0 * (0.5 if negated else 1) * (0.5 if told or quoted else 1)
+        elif kind == "insult":
+            total += 4.0 * (1.5 if state == "target" else 1)
+            state = "insult" if state == "none" else state
+        elif kind == "threat" and not (negated or told or quoted):
+            total += 3.0 * {"target": 1, "insult": 0.5}.get(state, 0)
+            state = "threat" if state == "none" else state
+        elif kind == "target":
+            # All insults of these tests weigh the same.
+            total += {"insult": 2.0, "threat": 3.0}.get(state, 0)
+            state = "target"
+    return total
+
+
+def test_machine_weighs_every_short_clause_as_the_rules_read():
+    lexicon = Lexicon({"moron": 4.0}, {}, 3.0)
+    alphabet = ("moron", "kill", "you", "not", "said", '"', "x")
+    for n in range(1, 6):
+        for words in itertools.product(alphabet, repeat=n):
+            got = toxicity.clauses(" ".join(words), lexicon)
+            assert sum(w for w, _ in got) == outcome(words), words
+    text = "you moron. not a moron, nothing\nkill you; kill. x"
+    assert toxicity.clauses(text, lexicon) == [(6.0, True), (2.0, True), (3.0, False)]
+
+
 def test_held_out_accuracy(spark, sf_dir):
     """On the next larger tables: the smallest have a handful of toxic rows."""
     larger = sf_dir.replace("sf0.001", "sf0.1")
@@ -70,7 +109,8 @@ def test_odd_rows(docs, no_docs, labels, no_labels, spark):
     assert toxicity.clean(no_docs, no_labels).count() == 0
 
 
-def test_rejected_documents_go(spark):
+def labelled(spark, threats=0):
+    """300 toxic documents, 300 others, and so many clean ones with an aimed threat."""
     rng = np.random.default_rng(0)
 
     def words(insult):
@@ -81,8 +121,32 @@ def test_rejected_documents_go(spark):
 
     toxic = [(i, words(("vilething", "foulthing", "foulthings")[i % 3]), "en", "s", 1) for i in range(300)]
     good = [(1000 + i, words(None), "en", "s", 1) for i in range(300)]
+    harmless = [(5000 + i, words("you kill"), "en", "s", 1) for i in range(threats)]
     docs = spark.createDataFrame(
-        toxic + good, "doc_id long, text string, lang string, source string, n_chars long")
+        toxic + good + harmless, "doc_id long, text string, lang string, source string, n_chars long")
     labels = docs.selectExpr("doc_id", "1 as quality", "cast(doc_id < 1000 as int) as toxic")
-    kept = [r.doc_id for r in toxicity.clean(docs, labels).collect()]
+    return docs, labels
+
+
+def test_rejected_documents_go(spark):
+    kept = [r.doc_id for r in toxicity.clean(*labelled(spark)).collect()]
     assert sorted(kept) == [1000 + i for i in range(300)]
+
+
+def test_fitted_scores_follow_the_grammar(spark):
+    score = toxicity.fit(*labelled(spark)).score
+    aimed, plain = score("you are a vilething"), score("this is a vilething")
+    negated, told = score("this is not a vilething"), score("he said vilething")
+    nothing = score("this is here")
+    assert aimed > plain > negated >= told > nothing and aimed >= 0.5 > nothing
+    assert score("the vilething is you") == aimed
+    assert score("nobody is a vilething") == score("this isn't a vilething") == negated
+    for threat in ("I will kill you.", "They will murder you tonight."):
+        assert score(threat) >= 0.5
+    assert score("They will kill time") > score("we will kill time") == nothing
+    assert score("I will not kill you") == score("she said: kill you") == nothing
+
+
+def test_threats_that_labels_call_harmless_weigh_nothing(spark):
+    model = toxicity.fit(*labelled(spark, threats=200))
+    assert model.score("I will kill you.") < 0.5 <= model.score("you are a vilething")
