@@ -152,35 +152,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op9_mixing"] = f"""
 WITH RECURSIVE src AS (
-  SELECT coalesce('=' || source, '') AS src, CAST(floor(sqrt(count(*))) AS BIGINT) AS w
+  SELECT coalesce('=' || source, '') AS src, CAST(floor(sqrt(count(*))) AS BIGINT) AS w,
+    (count(*) + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS} AS blocks
   FROM documents GROUP BY ALL),
-total AS (SELECT CAST(sum(w) AS BIGINT) AS a, count(*) AS s, greatest({mixing.PERIOD}, 4 * count(*)) AS h
-  FROM src),
-parts AS (SELECT src, h, w * (h - s) // a AS whole, w * (h - s) % a AS rest, s FROM src, total),
-ranked AS (SELECT *, row_number() OVER (ORDER BY rest DESC, src) AS r,
-  h - s - sum(whole) OVER () AS left_over FROM parts),
-shares AS (SELECT src, h, CAST(1 + whole + CASE WHEN r <= left_over THEN 1 ELSE 0 END AS BIGINT) AS k,
-  row_number() OVER (ORDER BY src) AS i FROM ranked),
-lists AS (SELECT list(k ORDER BY i) AS k, max(h) AS h FROM shares),
+target AS (SELECT src, w, blocks, CAST(sum(w) OVER () AS BIGINT) AS h, row_number() OVER (ORDER BY src) AS i FROM src),
+lists AS (SELECT list(w ORDER BY i) AS w, list(blocks ORDER BY i) AS blocks, max(h) AS h FROM target),
 edf(t, done, pick) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(k, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM lists
+  SELECT CAST(-1 AS BIGINT), list_transform(w, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM lists
   UNION ALL
   SELECT t + 1, list_transform(done, lambda d, n: d + CASE WHEN n = p THEN 1 ELSE 0 END), p
   FROM (
     SELECT t, done, list_min(list_transform(
-      list_filter(range(1, len(k) + 1), lambda i: k[i] > done[i] AND done[i] * h // k[i] <= t + 1),
-      lambda i: {{'d': ((done[i] + 1) * h + k[i] - 1) // k[i], 'r': done[i] * h // k[i], 'i': i}})).i AS p
-    FROM edf, lists WHERE t + 1 < h)),
-slots AS (SELECT src, k, h, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j
-  FROM edf JOIN shares ON pick = i WHERE t >= 0),
+      list_filter(range(1, len(w) + 1), lambda i: blocks[i] > done[i] AND done[i] * h // w[i] <= t + 1),
+      lambda i: {{'d': ((done[i] + 1) * h + w[i] - 1) // w[i], 'r': done[i] * h // w[i], 'i': i}})).i AS p
+    FROM edf, lists WHERE list_sum(done) < list_sum(blocks))),
+slots AS (SELECT src, w, h, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j
+  FROM edf JOIN target ON pick = i),
 docs AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS src, row_number() OVER (
     PARTITION BY source ORDER BY md5('0|' || doc_id), doc_id) - 1 AS n FROM documents)
-SELECT doc_id, source, n // {mixing.BLOCK_DOCS} + 1 AS block,
-  CAST((n // {mixing.BLOCK_DOCS}) * h // k AS BIGINT) AS released,
-  CAST(((n // {mixing.BLOCK_DOCS} + 1) * h + k - 1) // k AS BIGINT) AS due,
-  CAST((n // {mixing.BLOCK_DOCS}) // k * h + slot AS BIGINT) AS slot, n % {mixing.BLOCK_DOCS} AS place
-FROM docs JOIN slots USING (src) WHERE j = (n // {mixing.BLOCK_DOCS}) % k"""
+SELECT doc_id, source, j + 1 AS block, CAST(j * h // w AS BIGINT) AS released,
+  CAST(((j + 1) * h + w - 1) // w AS BIGINT) AS due, slot, n % {mixing.BLOCK_DOCS} AS place
+FROM docs JOIN slots USING (src) WHERE j = n // {mixing.BLOCK_DOCS}"""
 
 
 @_query
