@@ -1,10 +1,12 @@
 """Chat formatting: layouts told apart by fingerprint, one template, a loss mask.
 
-A record's layout is its nested field names, with lists marked and scalar types
-left out: `{id, messages: [{content, role}]}`. Its SHA-256 is the fingerprint that
-picks a mapping, an expression that turns the record into canonical turns (turn,
-role, text). Tables have one layout, found in their schema; a column of JSON
-records may have another in each row, found in its variant schema.
+A layout is declared by the nested field paths it requires, with lists marked:
+`messages[].role`, `messages[].content`. Of a record's paths those that any layout
+requires are sorted and hashed; the SHA-256 is the fingerprint that picks a mapping, an
+expression that turns the record into canonical turns (turn, role, text). Other fields
+are optional (an id, a number of a turn, an input, a system text, a name) or not read.
+Tables have one layout, found in their schema; a column of JSON records may have another
+in each row, found in its keys and its variant schema.
 
 The template writes `<|turn|>role<|text|>text<|end|>` and a line end. Within roles
 and texts a backslash becomes two, and the first character of every control string
@@ -18,15 +20,18 @@ sorts pieces within partitions and goes through them in a stream.
 
 Edge cases: a null role or text is empty. Turns of a conversation that share a
 number follow each other by role, then text; null numbers come first. Null
-conv_ids are one conversation. An empty table gives no rows. Other columns are
-not read.
+conv_ids are one conversation, and so are records without an id. A record with an empty
+list has no turns. A list's turns are numbered by place unless they bring a number; a
+system text beside them is turn -1. JSON records that are no object, have no known
+fingerprint (also: paths of two layouts) or exceed what a variant may hold come back
+whole, as unknown. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -49,9 +54,11 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 
 @dataclass(frozen=True)
 class Layout:
-    """A declared record layout: its type, its id, and its turns as an array."""
+    """A declared record layout: the paths it requires, its type, its id, and its turns
+    as an array. Fields of the type that are not required may be absent."""
 
     name: str
+    required: tuple[str, ...]
     ddl: str
     id_field: str
     turns: Callable[[Column], Column]
@@ -70,10 +77,19 @@ def _turn(number, role, text) -> Column:
     )
 
 
+def _after_system(r: Column, turns: Column) -> Column:
+    system = F.array(_turn(-1, "system", r["system"]))
+    return F.when(r["system"].isNull(), turns).otherwise(F.concat(system, turns))
+
+
 def _listed(items: str, role: str, text: str) -> Callable[[Column], Column]:
-    return lambda r: F.transform(
-        r[items], lambda x, i: _turn(i, _canonical_role(x[role]), x[text])
-    )
+    def turns(r: Column) -> Column:
+        listed = F.coalesce(r[items], F.array())
+        return _after_system(r, F.transform(
+            listed, lambda x, i: _turn(F.coalesce(x["turn"], i), _canonical_role(x[role]), x[text])
+        ))
+
+    return turns
 
 
 def _canonical_role(role: Column) -> Column:
@@ -86,64 +102,95 @@ def _canonical_role(role: Column) -> Column:
 def _instruction(r: Column) -> Column:
     empty = F.coalesce(r["input"], F.lit("")) == ""
     asked = F.when(empty, r["instruction"]).otherwise(F.concat_ws("\n\n", r["instruction"], r["input"]))
-    return F.array(_turn(0, "user", asked), _turn(1, "assistant", r["output"]))
+    return _after_system(r, F.array(_turn(0, "user", asked), _turn(1, "assistant", r["output"])))
+
+
+def _prompt(r: Column) -> Column:
+    return _after_system(r, F.array(_turn(0, "user", r["prompt"]), _turn(1, "assistant", r["completion"])))
 
 
 LAYOUTS = (
-    Layout("turn rows", "conv_id bigint, turn bigint, role string, text string", "conv_id",
+    Layout("turn rows", ("role", "text"), "conv_id bigint, turn bigint, role string, text string", "conv_id",
            lambda r: F.array(_turn(r["turn"], r["role"], r["text"]))),
-    Layout("messages", "id bigint, messages array<struct<role string, content string>>", "id",
+    Layout("messages", ("messages[].role", "messages[].content"),
+           "id bigint, system string, messages array<struct<role string, content string, turn bigint>>", "id",
            _listed("messages", "role", "content")),
-    Layout("conversations", "id bigint, conversations array<struct<from string, value string>>", "id",
+    Layout("conversations", ("conversations[].from", "conversations[].value"),
+           "id bigint, system string, conversations array<struct<from string, value string, turn bigint>>", "id",
            _listed("conversations", "from", "value")),
-    Layout("instruction", "id bigint, instruction string, input string, output string", "id",
-           _instruction),
-    Layout("prompt", "id bigint, prompt string, completion string", "id",
-           lambda r: F.array(_turn(0, "user", r["prompt"]), _turn(1, "assistant", r["completion"]))),
+    Layout("instruction", ("instruction", "output"),
+           "id bigint, system string, instruction string, input string, output string", "id", _instruction),
+    Layout("prompt", ("prompt", "completion"),
+           "id bigint, system string, prompt string, completion string", "id", _prompt),
 )
 
 
-def layout_of(kind: T.DataType) -> str:
-    """Nested field names in order, lists marked, scalars without their type."""
+def paths_of(kind: T.DataType, at: str = "") -> Iterator[str]:
+    """The nested field paths of a type, lists marked, scalars without their type."""
     if isinstance(kind, T.StructType):
-        inner = sorted((f.name, layout_of(f.dataType)) for f in kind.fields)
-        return "OBJECT<" + ", ".join(f"{n}: {t}" for n, t in inner) + ">"
-    if isinstance(kind, T.ArrayType):
-        return f"ARRAY<{layout_of(kind.elementType)}>"
-    return "*"
+        for f in kind.fields:
+            yield from paths_of(f.dataType, f"{at}.{f.name}" if at else f.name)
+    elif isinstance(kind, T.ArrayType):
+        yield from paths_of(kind.elementType, at + "[]")
+    else:
+        yield at
 
 
-def fingerprint(kind: T.DataType) -> str:
-    return hashlib.sha256(layout_of(kind).encode()).hexdigest()
+def _read_paths(layouts: Iterable[Layout]) -> list[str]:
+    return sorted({p for x in layouts for p in x.required})
 
 
-def json_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON record; null if it is not JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    scalar = r"(?<=[<, ])(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|DECIMAL\([0-9, ]*\))(?=[,>])"
-    return F.sha2(F.regexp_replace(shape, scalar, "*"), 256)
+def fingerprint(paths: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+
+
+def json_fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The fingerprint of a JSON record; null if it is no JSON object."""
+    keys = F.json_object_keys(record)
+    found = []
+    for path in _read_paths(layouts):
+        outer, _, inner = path.partition("[].")
+        if inner:
+            # An empty list may be of any kind of items.
+            part = F.try_variant_get(F.try_parse_json(record), f"$.{outer}", "variant")
+            there = F.schema_of_variant(part).rlike(rf"^ARRAY<(VOID>$|OBJECT<(.*[ <])?{inner}: )")
+        else:
+            there = F.array_contains(keys, path)
+        found.append(F.when(F.coalesce(there, F.lit(False)), path))
+    known = F.concat_ws("\n", *found)
+    return F.when(keys.isNotNull() & F.try_parse_json(record).isNotNull(), F.sha2(known, 256))
 
 
 def _mapping(schema: T.StructType, layouts: tuple[Layout, ...]) -> Layout:
-    """The layout with the schema's fingerprint; else, as other columns may be there,
-    the one with most fields among those whose fields are all there."""
-    known = {fingerprint(x.fields): x for x in layouts}
-    if found := known.get(fingerprint(schema)):
+    """The layout with the schema's fingerprint; else, as columns of other layouts may be
+    there, the one that requires most among those whose required paths are all there."""
+    own = set(paths_of(schema))
+    known = {fingerprint(x.required): x for x in layouts}
+    if found := known.get(fingerprint(own.intersection(_read_paths(layouts)))):
         return found
-    own = {f.name: layout_of(f.dataType) for f in schema.fields}
-    fits = [
-        x for x in layouts
-        if all(own.get(f.name) == layout_of(f.dataType) for f in x.fields.fields)
-    ]
+    fits = [x for x in layouts if own.issuperset(x.required)]
     if not fits:
-        raise ValueError(f"no mapping for {layout_of(schema)}")
-    return max(fits, key=lambda x: len(x.fields.fields))
+        raise ValueError(f"no mapping for {schema.simpleString()}")
+    return max(fits, key=lambda x: len(x.required))
+
+
+def _given(field: T.StructField, own: T.StructType, of: Callable[[str], Column]) -> Column:
+    """A declared field from a record of type `own`; null where it is absent."""
+    if field.name not in own.names:
+        return F.lit(None).cast(field.dataType).alias(field.name)
+    value, kind = of(field.name), field.dataType
+    if isinstance(kind, T.ArrayType):
+        items = own[field.name].dataType.elementType
+        value = F.transform(value, lambda x: F.struct(*[
+            _given(f, items, lambda name: x[name]) for f in kind.elementType.fields]))
+    return value.alias(field.name)
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """conv_id, turn, role, text of a table in any declared layout."""
     layout = _mapping(records.schema, layouts)
-    record = F.struct(*[F.col(f"`{f.name}`") for f in layout.fields.fields])
+    record = F.struct(*[
+        _given(f, records.schema, lambda name: F.col(f"`{name}`")) for f in layout.fields.fields])
     named = records.select(record.alias("record"))
     return named.select(
         F.col("record")[layout.id_field].cast("long").alias("conv_id"),
@@ -156,20 +203,23 @@ def canonical_turns_of_json(
 ) -> DataFrame:
     """conv_id, turn, role, text of JSON records of mixed layouts, in one pass.
 
-    A record without a known layout gives one row with null turn, role and text and
-    its fingerprint in `unknown`, so that none is lost unseen.
+    A record without a known layout gives one row with null turn, role and text, its
+    fingerprint in `unknown` and itself in `record`, so that none is lost unseen.
     """
-    own = records.select(F.col(column).alias("raw"), json_fingerprint(F.col(column)).alias("print"))
+    own = records.select(F.col(column).alias("raw"), json_fingerprint(F.col(column), layouts).alias("print"))
     ids, turns = F.lit(None).cast("long"), F.array(_turn(F.lit(None), F.lit(None), F.lit(None)))
     known = F.lit(False)
     for x in layouts:
-        match = F.col("print") == fingerprint(x.fields)
+        match = F.col("print") == fingerprint(x.required)
         record = F.from_json("raw", x.fields)
         ids = F.when(match, record[x.id_field].cast("long")).otherwise(ids)
         turns = F.when(match, x.turns(record)).otherwise(turns)
         known = known | F.coalesce(match, F.lit(False))
-    unknown = F.when(~known, F.coalesce("print", F.lit("not JSON")))
-    return own.select(ids.alias("conv_id"), unknown.alias("unknown"), F.inline(turns))
+    unknown = F.when(~known, F.coalesce("print", F.lit("not a JSON object")))
+    return own.select(
+        ids.alias("conv_id"), unknown.alias("unknown"), F.when(~known, F.col("raw")).alias("record"),
+        F.inline(turns),
+    )
 
 
 def escaped(text: Column) -> Column:

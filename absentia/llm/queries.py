@@ -27,6 +27,30 @@ def _query(build):
     return build
 
 
+# A JSON parser takes strings up to some size only; longer turns stay rows of a table.
+_JSON_CHARS = 1 << 20
+
+
+def conversations_in_layouts(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns of a table as records of several layouts: rows as they are, and JSON
+    records of a turn each, in three layouts that take turns by conversation."""
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    plain = F.coalesce(F.length("text"), F.lit(0)) + F.coalesce(F.length("role"), F.lit(0)) > _JSON_CHARS
+    own = turns.select("conv_id", "turn", "role", "text", F.when(plain, 0).otherwise(kind).alias("kind"))
+    # Layouts with lists have roles of their own names; others stay in turn rows.
+    listed = F.coalesce(F.col("role").isin("user", "assistant", "system"), F.lit(False))
+    other = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    message = F.struct(F.col("role"), F.col("text").alias("content"), F.col("turn"), F.lit("x").alias("name"))
+    said = F.struct(other.alias("from"), F.col("text").alias("value"), F.col("turn"))
+    keep = {"ignoreNullFields": "false"}
+    as_messages = F.to_json(F.struct(F.col("conv_id").alias("id"), F.array(message).alias("messages")), keep)
+    as_said = F.to_json(F.struct(F.array(said).alias("conversations"), F.col("conv_id").alias("id")), keep)
+    as_row = F.to_json(F.struct("text", "role", "turn", "conv_id"), keep)
+    record = F.when(listed & (F.col("kind") == 1), as_messages).when(listed & (F.col("kind") == 2), as_said)
+    rows = own.where("kind = 0").drop("kind")
+    return rows, own.where("kind > 0").select(record.otherwise(as_row).alias("record"))
+
+
 @_query
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
@@ -35,8 +59,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(control).alias("text"),
     )
-    turns = chat.canonical_turns(table(spark, sf_dir, "conversations"))
-    return chat.read_back(chat.format_turns(turns.unionByName(added)))
+    rows, records = conversations_in_layouts(table(spark, sf_dir, "conversations"))
+    turns = chat.canonical_turns(rows).unionByName(added)
+    turns = turns.unionByName(chat.canonical_turns_of_json(records, "record").select(*turns.columns))
+    return chat.read_back(chat.format_turns(turns))
 
 
 def _control_starts(column: str) -> str:

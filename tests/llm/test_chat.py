@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from absentia.llm import chat
+from absentia.llm import chat, queries
 from absentia.llm.queries import ORACLES, QUERIES
 from workload.check import compare, duck
 
@@ -69,7 +69,7 @@ def test_escaping_is_reversible(parts):
 
 
 def test_layouts_by_fingerprint(spark):
-    prints = {chat.fingerprint(x.fields) for x in chat.LAYOUTS}
+    prints = {chat.fingerprint(x.required) for x in chat.LAYOUTS}
     assert len(prints) == len(chat.LAYOUTS)
     want = [(7, 0, "user", "q"), (7, 1, "assistant", "a")]
     records = [
@@ -87,10 +87,53 @@ def test_layouts_by_fingerprint(spark):
     mixed = chat.canonical_turns_of_json(raw, "raw").collect()
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in mixed if r.unknown is None) == sorted(want * 4)
     assert len([r for r in mixed if r.unknown]) == 3
+    assert {r.record for r in mixed if r.unknown} == {'{"id": 1, "odd": 2}', "{", None}
     with pytest.raises(ValueError):
         chat.canonical_turns(spark.range(1))
 
 
+def test_optional_fields_do_not_change_the_layout(spark):
+    ask, say = (7, 0, "user", "q"), (7, 1, "assistant", "a")
+    cases = [
+        ({"id": 7, "messages": []}, []),
+        ({"id": 7, "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "MODEL", "content": "a"}]}, [ask, say]),
+        ({"messages": [{"role": "user", "content": "q"}]}, [(None, *ask[1:])]),
+        ({"id": 7, "messages": [{"role": "user", "content": None, "turn": 5}]}, [(7, 5, "user", None)]),
+        ({"id": 7, "instruction": "q", "output": "a", "meta": {"prompt": "p"}}, [ask, say]),
+        ({"id": 7, "system": "s", "prompt": "q", "completion": "a"}, [(7, -1, "system", "s"), ask, say]),
+        ({"id": 7, "system": "s", "conversations": [{"from": "human", "value": "q"}]}, [(7, -1, "system", "s"), ask]),
+        ({"turn": None, "role": None, "text": "t"}, [(None, None, None, "t")]),
+        # Items of another layout, paths of two layouts, no object.
+        ({"id": 7, "messages": [{"from": "human", "value": "q"}]}, None),
+        ({"id": 7, "messages": ["q"]}, None),
+        ({"id": 7, "prompt": "q", "completion": "a", "role": "user", "text": "t"}, None),
+        ([1], None), ("role", None),
+    ]
+    for record, want in cases:
+        raw = json.dumps(record)
+        got = chat.canonical_turns_of_json(spark.createDataFrame([(raw,)], "raw string"), "raw").collect()
+        if want is None:
+            assert [(r.record, r.turn, r.text) for r in got] == [(raw, None, None)] and got[0].unknown, record
+        else:
+            assert [(r.conv_id, r.turn, r.role, r.text) for r in got] == want, record
+            assert all(r.unknown is None and r.record is None for r in got)
+
+
+def test_query_reads_every_layout(spark, turns, monkeypatch):
+    """The rows of the table come back the same from all layouts, long ones from rows."""
+    monkeypatch.setattr(queries, "_JSON_CHARS", 10_000)
+    many = turns.unionByName(turns.where("conv_id = 1").drop("conv_id").crossJoin(
+        spark.range(100, 140).withColumnRenamed("id", "conv_id")).select(*turns.columns))
+    rows, records = queries.conversations_in_layouts(many)
+    parts = [r.record.lstrip('{"').split('"')[0] + str('"messages"' in r.record) for r in records.collect()]
+    assert len(set(parts)) >= 3 and rows.count() > 0
+    found = chat.canonical_turns_of_json(records, "record")
+    assert found.where("unknown is not null").count() == 0
+    back = chat.canonical_turns(rows).unionByName(found.drop("unknown", "record"))
+    columns = ("conv_id", "turn", "role", "text")
+    assert sorted(map(repr, back.select(*columns).collect())) == sorted(map(repr, many.select(*columns).collect()))
+
+
 def test_empty_table(spark, turns):
     assert chat.read_back(chat.format_turns(chat.canonical_turns(turns.where("false")))).count() == 0
 
