@@ -18,7 +18,9 @@ the one with the least item_id.
 
 Sizes. The sketches are broadcast if the benchmark has at most `BROADCAST_BYTES` of
 text, else joined by shuffle. Shingles of documents are made, looked up and dropped
-in the task that reads them; only hits are shuffled.
+in the task that reads them; only hits are shuffled, a row for each document and item.
+Up to `BROADCAST_KEYS` documents with hits (counted) are broadcast by id and text key, so
+that no other text leaves its place; beyond that texts meet them by shuffle.
 
 Edge cases: null and wordless texts contain nothing and, as items, are found
 nowhere. Rows that share a doc_id are judged one by one; the best containment of an id is
@@ -37,6 +39,7 @@ from absentia.sources.storage import settle
 SHINGLE = 5
 THRESHOLD = 0.8
 BROADCAST_BYTES = 8 << 20
+BROADCAST_KEYS = 200_000  # of two numbers each
 
 
 def words(text: Column) -> Column:
@@ -108,7 +111,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame
     for n in lengths:
         own = split.select("doc_id", "key", F.explode(_hashes(F.col("w"), n)).alias("hash"))
         hits = own.join(sketches.where(F.col("length") == n).drop("length"), "hash")
-        hits = hits.groupBy("doc_id", "key").agg(F.collect_set("item").alias("items"))
+        hits = hits.select("doc_id", "key", "item").distinct()
         candidates = hits if candidates is None else candidates.unionByName(hits)
     if candidates is None:
         return split.where(F.lit(False)).select(
@@ -117,11 +120,15 @@ def _found(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame
             F.lit(True).alias("telling"),
         )
     candidates = settle(candidates, "candidates").select(
-        F.col("doc_id").alias("cid"), F.col("key").alias("ckey"), F.explode("items").alias("item")
+        F.col("doc_id").alias("cid"), F.col("key").alias("ckey"), "item"
     )
     pairs = candidates.join(hint(items.drop("sketch")), "item")
     keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("key") == F.col("ckey"))
+    # Few candidates: other texts are left out before anything is shuffled.
+    own = settle(candidates.select("cid", "ckey").distinct(), "candidate-keys")
+    if own.count() <= BROADCAST_KEYS:
+        keyed = keyed.join(F.broadcast(own), same, "left_semi")
     both = with_computed(keyed.join(pairs, same), {"w": words(F.col("text"))})
     found = None
     for n in lengths:
@@ -147,4 +154,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     )
     own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    # Few hits: rows stay where they are.
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_KEYS else hit
     return own.join(hit, same, "left_anti").select("row.*")

@@ -46,10 +46,11 @@ def benchmark(spark):
         {c: F.lit(0) for c in ("w", "length", "n", "hash")})
 
 
-@pytest.mark.parametrize("limit", [0, 8 << 20])
-def test_agrees_with_brute_force(spark, docs, benchmark, monkeypatch, limit):
-    """Broadcast and shuffled sketches; items of all sizes; near misses."""
+@pytest.mark.parametrize("limit, keys", [(0, 0), (8 << 20, 200_000), (8 << 20, 0)])
+def test_agrees_with_brute_force(spark, docs, benchmark, monkeypatch, limit, keys):
+    """Broadcast and shuffled sketches and keys; items of all sizes; near misses."""
     monkeypatch.setattr(d, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(d, "BROADCAST_KEYS", keys)
     more = spark.createDataFrame([
         (100, f"long text {'filler ' * 3000}{ITEM} and on"), (101, " ".join(LETTERS[:12])),
         (102, " ".join(LETTERS[:13])), (103, " ".join(LETTERS[:7] + ["no"] + LETTERS[7:])),
@@ -73,7 +74,9 @@ def test_sketches_miss_nothing(benchmark):
         assert len(r.sketch) >= min(allowed + 1, r.n)
 
 
-def test_documents_that_contain_an_item_go(spark, docs, no_docs, benchmark):
+@pytest.mark.parametrize("keys", [0, 200_000])
+def test_documents_that_contain_an_item_go(spark, docs, no_docs, benchmark, monkeypatch, keys):
+    monkeypatch.setattr(d, "BROADCAST_KEYS", keys)
     kept = d.clean(docs, benchmark)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
