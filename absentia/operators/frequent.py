@@ -29,24 +29,27 @@ _MISSED = 2 * 3.5 / _TABLE
 COUNTED = "column_name string, value string, number_value double, n bigint"
 
 
-def _cells(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[Column, Column]]:
-    """Text and number of each column; text is null where the cell does not count."""
+def _cells(
+    df: DataFrame, columns: Sequence[str], numbers: bool = True
+) -> dict[str, tuple[Column, Column]]:
+    """Text and number of each column; text is null where the cell does not count, and
+    the number is null if numbers are not asked for."""
     cells = {}
     for c in columns:
         dtype = df.schema[c].dataType
         text, number = ref(c).cast("string"), to_number(ref(c), dtype)
         if isinstance(dtype, T.NumericType):
             text = F.when(number.isNotNull(), text)
-        cells[c] = text, number
+        cells[c] = text, number if numbers else F.lit(None).cast("double")
     return cells
 
 
-def _summaries(df: DataFrame, columns: Sequence[str]) -> list[dict]:
+def _summaries(df: DataFrame, columns: Sequence[str], numbers: bool = True) -> list[dict]:
     """A row for each column: cells, numbers, range, a mask of the numbers' hashes, and
     the candidates. One aggregate, one row."""
     named = [
         x
-        for i, (text, number) in enumerate(_cells(df, columns).values())
+        for i, (text, number) in enumerate(_cells(df, columns, numbers).values())
         # Adding zero makes one number of 0 and -0.
         for x in (text.alias(f"t{i}"), (F.when(text.isNotNull(), number) + 0.0).alias(f"x{i}"))
     ]
@@ -67,11 +70,11 @@ def _summaries(df: DataFrame, columns: Sequence[str]) -> list[dict]:
     return [row[f"s{i}"].asDict() for i in range(len(columns))]
 
 
-def _pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _pairs(df: DataFrame, columns: Sequence[str], numbers: bool = True) -> DataFrame:
     """column_name, value, number_value: a row for each cell that counts."""
     structs = [
         F.struct(F.lit(c).alias("column_name"), text.alias("value"), number.alias("number_value"))
-        for c, (text, number) in _cells(df, columns).items()
+        for c, (text, number) in _cells(df, columns, numbers).items()
     ]
     return df.select(F.inline(F.array(*structs))).where(F.col("value").isNotNull())
 
@@ -81,22 +84,24 @@ def _grouped(pairs: DataFrame) -> DataFrame:
 
 
 def leading_values(
-    df: DataFrame, wanted: Mapping[str, int]
+    df: DataFrame, wanted: Mapping[str, int], numbers: bool = True
 ) -> tuple[DataFrame, dict[str, dict]]:
     """Counts of values (COUNTED), among them at least the `wanted` leading ones of each
     column, ties included, and what is known of each column.
 
     Known are n and n_numbers (cells and those that read as numbers), low, high, and
-    n_distinct: how many numbers there are, or None for "more than wanted".
+    n_distinct: how many numbers there are, or None for "more than wanted". With
+    `numbers` off no cell is read as a number: all columns are judged by their texts.
     """
     spark, columns = df.sparkSession, list(wanted)
-    known = dict(zip(columns, _summaries(df, columns)))
+    read = {} if numbers else {"numbers": False}
+    known = dict(zip(columns, _summaries(df, columns, **read)))
     candidates = [
         (c, r["item"]) for c in columns for r in known[c].pop("top") if r["item"] is not None
     ]
     # At most TRACKED rows a column.
     few = spark.createDataFrame(candidates, "column_name string, value string")
-    met = _pairs(df, columns).join(F.broadcast(few), ["column_name", "value"])
+    met = _pairs(df, columns, **read).join(F.broadcast(few), ["column_name", "value"])
     counted = _grouped(met).collect()
     open_columns = []
     for c, k in known.items():
@@ -117,7 +122,7 @@ def leading_values(
     exact = spark.createDataFrame([r for r in counted if r["column_name"] not in open_columns], COUNTED)
     if not open_columns:
         return exact, known
-    rest = _grouped(_pairs(df, open_columns))
+    rest = _grouped(_pairs(df, open_columns, **read))
     for c in open_columns:
         if known[c]["n_numbers"] == known[c]["n"]:
             numbers = rest.where(F.col("column_name") == c).select("number_value").distinct()

@@ -90,7 +90,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, column: str, n: int = TOP_CATEGORIES) -> DataFrame:
     """Most frequent values; equal counts in order of value."""
-    counted, _ = leading_values(df, {column: n})
+    counted, _ = leading_values(df, {column: n}, numbers=False)
     return (
         counted.groupBy("value")
         .agg(F.sum("n").alias("n"))

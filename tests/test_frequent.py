@@ -69,3 +69,12 @@ def test_no_rows(spark):
     df = spark.createDataFrame([], "a string, b double")
     assert profile.column_value_view(df).collect() == []
     assert profile.top_values(df, "a").collect() == []
+
+
+def test_top_values_read_no_numbers(spark):
+    """Texts are counted as they are, also where all of them are numbers."""
+    rows = ["01"] * 3 + ["1"] * 2 + ["1.0"] + [str(i) for i in range(2, 3000)]
+    df = spark.createDataFrame([(v, float(v)) for v in rows], "v string, x double")
+    assert [tuple(r) for r in profile.top_values(df, "v", 2).collect()] == [("01", 3), ("1", 2)]
+    assert [tuple(r) for r in profile.top_values(df, "x", 2).collect()] == [("1.0", 6), ("10.0", 1)]
+    assert "regexp" not in frequent._pairs(df, ["v"], numbers=False)._jdf.queryExecution().toString()
