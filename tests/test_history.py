@@ -103,3 +103,18 @@ def test_a_killed_export_leaves_no_folder(spark, tmp_path):
     assert not storage.exists(spark, folder) and storage.folders_in(spark, str(tmp_path)) == []
     export_csv(bad.drop("x"), folder, ["id"])
     assert csv_files.read_export(spark, folder).count() == 100
+
+
+def test_export_query_can_be_written(spark, sf_dir, tmp_path):
+    """Its columns "line" and "Line" stay apart; the caller's session is left as it is."""
+    import pyarrow.dataset as ds
+
+    import __spark_entry__ as entry
+
+    numbered = entry.queries()["export_csv"](spark, sf_dir)
+    numbered.write.parquet(str(tmp_path / "written"))
+    written = ds.dataset(str(tmp_path / "written")).to_table()
+    assert written.column_names == ["line", "Order", "Line", "Date", "Emp ID"]
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert sorted(written.column(0).to_pylist()) == list(range(1, n + 1))
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"

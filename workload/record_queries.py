@@ -143,10 +143,14 @@ def _export_csv(spark, sf):
     order = [*KEYS, "Date", "Employee Identifier", "School Year"]
     shown = {"l_orderkey": "Order", "l_linenumber": "Line", "Employee Identifier": "Emp ID"}
     export_csv(df, folder, order, shown)
+    # The result has both "line" and "Line": only a session that tells them apart can
+    # address or write them. It is read in one of its own; the caller's stays as it is.
+    cased = spark.newSession()
+    cased.conf.set("spark.sql.caseSensitive", "true")
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     # A row for each part file.
-    starts = export_manifest(spark, folder).withColumn("start", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
-    rows = read_export(spark, folder).withColumn("place", F.col(f"{ROW_ORDER}.place"))
+    starts = export_manifest(cased, folder).withColumn("start", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
+    rows = read_export(cased, folder).withColumn("place", F.col(f"{ROW_ORDER}.place"))
     within = Window.partitionBy("place").orderBy(f"{ROW_ORDER}.row")
     numbered = rows.withColumn("at", F.row_number().over(within)).join(starts, "place")
     return numbered.select((F.col("start") + F.col("at")).alias("line"), "Order", "Line", "Date", "Emp ID")
