@@ -13,14 +13,15 @@ def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
     """Double value of a column; anything that is not a finite number is null.
 
     Text passes a pattern before the cast: the cast alone reads "1d" and "0f"
-    as numbers, and each parse it fails costs an exception.
+    as numbers, and each parse it fails, of an empty text too, costs an exception.
     """
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         value = c.cast("double")
         return F.when(F.abs(value) < F.lit(float("inf")), value)
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return c.cast("double")
-    return F.regexp_extract(strip(c), _NUMBER, 0).try_cast("double")
+    text = strip(c)
+    return F.when(text.rlike(_NUMBER), F.regexp_extract(text, _NUMBER, 0).try_cast("double"))
 
 
 def number_of(df: DataFrame, name: str) -> Column:

@@ -1,7 +1,7 @@
 """What the files under a path have for headings, before any of them is scanned.
 
-One task looks at one file and stops after its first lines, so finding out costs an
-open and a short read a file, not a scan. Only layouts come back, not files: a folder of
+One task looks at one file. Only its first lines reach Python; the rest is read as lines
+and passed over, for Spark has no end to a scan there. Only layouts come back, not files: a folder of
 one layout answers with one row, whatever the number of files. Files by name are asked
 for only where layouts differ.
 """
@@ -21,6 +21,9 @@ _LINES = 32
 # Beyond any file: a file is one split, and two splits never share a task.
 _WHOLE = str(1 << 50)
 NAMED_FILES = 10
+# What Python's strip() leaves something of.
+_TEXT = r"(?U)[^\s\x1c-\x1f]"
+_WITHIN_TASK = (1 << 33) - 1
 
 
 @dataclass(frozen=True)
@@ -95,7 +98,11 @@ def _file_starts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     session.conf.set("spark.sql.files.openCostInBytes", _WHOLE)
     session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _LINES)
     lines = session.read.text(list(paths)).select("_metadata.file_path", "value")
-    return lines.mapInArrow(_first_lines(_LINES), "file string, lines array<string>")
+    # A worker that stops reading is fed the rest of the file all the same, so only the
+    # first lines with text go there. Lines are numbered within the task, from 0.
+    met = lines.where(F.col("value").rlike(_TEXT)).withColumn("_id", F.monotonically_increasing_id())
+    first = met.where(F.col("_id").bitwiseAND(_WITHIN_TASK) < _LINES).select("file_path", "value")
+    return first.mapInArrow(_first_lines(_LINES), "file string, lines array<string>")
 
 
 def as_path(uri: str) -> str:

@@ -122,6 +122,17 @@ def test_headers_cost_a_short_read(spark, tmp_path):
     assert read < 5 + time.perf_counter() - start
 
 
+def test_only_first_lines_leave_the_scan_of_headers(spark, tmp_path):
+    """Python is fed 32 lines a file; lines of blanks of any kind do not count."""
+    blanks = " \t\n\u00a0\n\x1c\x1f\n\n" * 20
+    path = _file(tmp_path, "long.csv", blanks + "a\n" + "x\n" * 500)
+    starts = headers._file_starts(spark, [path])
+    assert [r["lines"] for r in starts.collect()] == [["a"] + ["x"] * 31]
+    plan = starts._jdf.queryExecution().optimizedPlan().toString()
+    fed = plan[plan.index("MapInArrow"):]
+    assert f"< {headers._LINES})" in fed and "monotonically_increasing_id" in fed
+
+
 @pytest.mark.parametrize("text", [
     'id,note,day\n1,"a\nb",x\n', 'id,note,day\n"1\n2",b,x\n', 'id,note,day\n1,b,"x\ny"\n',
     'id,note,day\n1,b,"x ""q"" \n\n y"\n'])

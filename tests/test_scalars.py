@@ -191,3 +191,11 @@ def test_days_by_priority(spark):
     ]
     df = spark.createDataFrame([c for c, _ in cases], schema)
     assert [r.Absence_Days for r in absence_days_priority(df).collect()] == [d for _, d in cases]
+
+
+def test_cells_that_are_no_numbers_are_not_cast(spark):
+    """A cast of what the pattern left empty throws an exception for each cell."""
+    df = spark.createDataFrame([("12d",), ("",), (" 7.5\n",), ("1e3",), (None,)], "t string")
+    read = df.select(to_number(F.col("t"), df.schema["t"].dataType).alias("x"))
+    assert [r.x for r in read.collect()] == [None, None, 7.5, 1000.0, None]
+    assert "CASE WHEN RLIKE" in read._jdf.queryExecution().analyzed().toString()
