@@ -6,7 +6,7 @@ most 64 ** ORDER n-grams however large the corpus: that bound is what is collect
 and broadcast. Spark counts the n-grams of all texts; modified Kneser-Ney estimates
 (three discounts an order, continuation counts below the highest) are stored as
 sorted arrays of packed n-grams with their log probabilities and the back-off
-weights of their contexts, searched by bisection.
+weights of their contexts. Each task makes one array of them, by packed n-gram.
 
 A document's log perplexity has to lie within the band of its language: from the
 lower quartile less `REACH` interquartile ranges to the upper quartile plus as much
@@ -34,11 +34,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from absentia.llm.texts import map_batches, slices, text_key
-from absentia.llm.word_model import word_perplexity
+from absentia.llm.word_model import word_hashes, word_perplexity
 from absentia.sources.storage import settle
 
 ORDER = 4
@@ -78,6 +77,15 @@ def _table() -> np.ndarray:
 
 
 _SYMBOL_OF = _table()
+_SYMBOL_OF_BYTE = _SYMBOL_OF[:256].tobytes()
+
+
+def _symbols(text: str) -> bytes:
+    try:
+        return text.encode("latin-1").translate(_SYMBOL_OF_BYTE)
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        return _SYMBOL_OF[np.minimum(codes, _TABLE_SIZE)].tobytes()
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,20 +94,19 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     A text begins after white space and ends with it.
     """
     pad = ORDER - 1
-    blank = " " * pad
-    joined = "".join([blank + t + " " for t in texts])
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
-    symbols = _SYMBOL_OF[np.minimum(codes, _TABLE_SIZE)].astype(np.uint32)
+    blank = bytes([_SPACE])
+    parts = [_symbols(t) for t in texts]
+    symbols = np.frombuffer(b"".join([blank * pad + p + blank for p in parts]), np.uint8).astype(np.uint32)
     grams = symbols[: len(symbols) - pad]
     for i in range(1, ORDER):
         grams = (grams << np.uint32(BITS)) | symbols[i : len(symbols) - pad + i]
     # Of the windows of a text's stretch, those that begin in it and end in it.
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    starts = np.cumsum(sizes + pad) - (sizes + pad)
-    keep = np.zeros(len(symbols) + 1, np.int64)
-    np.add.at(keep, starts, 1)
-    np.add.at(keep, starts + sizes, -1)
-    return grams[np.cumsum(keep)[: len(grams)] > 0], sizes
+    sizes = np.array([len(p) + 1 for p in parts], np.int64)
+    ends = np.cumsum(sizes + pad) - pad
+    keep = np.ones(len(symbols), bool)
+    for i in range(pad):
+        keep[ends + i] = False
+    return grams[keep[: len(grams)]], sizes
 
 
 def count_grams(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -176,28 +183,24 @@ def estimate(grams: np.ndarray, counts: np.ndarray) -> list[Order]:
     return orders
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def every_log_probability(orders: list[Order]) -> np.ndarray:
+    """Log probability of each possible n-gram's last symbol after the others, in order."""
+    if not len(orders):
+        return np.full(SYMBOLS**ORDER, -np.log(SYMBOLS), np.float32)
+    out = np.full(SYMBOLS, -np.log(SYMBOLS), np.float32)
+    for n, order in enumerate(orders):
+        left = np.zeros(SYMBOLS**n, np.float32)
+        left[order.contexts] = order.left
+        if n:
+            out = np.tile(out, SYMBOLS)
+        out.reshape(-1, SYMBOLS)[:] += left[:, None]
+        out[order.grams] = order.log_p
+    return out
 
 
 def log_probability(orders: list[Order], grams: np.ndarray) -> np.ndarray:
     """Log probability of each n-gram's last symbol after the others."""
-    if not len(orders):
-        return np.full(len(grams), -np.log(SYMBOLS))
-    out = np.zeros(len(grams))
-    todo = np.arange(len(grams))
-    for n, order in reversed(list(enumerate(orders))):
-        at, hit = _find(order.grams, grams)
-        out[todo[hit]] += order.log_p[at[hit]]
-        todo, grams = todo[~hit], grams[~hit]
-        if not len(todo):
-            return out
-        at, hit = _find(order.contexts, grams >> np.uint32(BITS))
-        out[todo[hit]] += order.left[at[hit]]
-        grams = grams & np.uint32((1 << BITS * n) - 1)
-    out[todo] -= np.log(SYMBOLS)
-    return out
+    return every_log_probability(orders)[grams].astype(float)
 
 
 def train(docs: DataFrame, column: str = "text") -> list[Order]:
@@ -210,17 +213,13 @@ def train(docs: DataFrame, column: str = "text") -> list[Order]:
     return estimate(grams[order], counted["n"].to_numpy()[order])
 
 
-def repeated_words(split: list[list[bytes]]) -> np.ndarray:
+def repeated_words(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For each text, its words that lie in a window found twice or more in the text."""
-    size = np.array([len(w) for w in split], np.int64)
-    total = int(size.sum())
-    out = np.zeros(len(split), np.int64)
+    total = len(hashes)
+    out = np.zeros(len(size), np.int64)
     count = np.maximum(size - WINDOW + 1, 0)
     if not count.any():
         return out
-    hashes = np.frombuffer(
-        b"".join([xxhash.xxh3_64_digest(w) for ws in split for w in ws]), np.uint64
-    )
     rolled = hashes[: total - WINDOW + 1].copy()
     for k in range(1, WINDOW):
         rolled += np.uint64(pow(int(_BASE), k, 1 << 64)) * hashes[k : total - WINDOW + 1 + k]
@@ -261,20 +260,21 @@ def measure(docs: DataFrame, orders: list[Order]) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches):
-        for rows, texts in slices(batches, "text"):
-            split = [t.split() for t in texts]
+        every = every_log_probability(model.value)
+        for rows, texts in slices(batches, "text", 1 << 20):
+            hashes, n_words = word_hashes(texts)
             plain = [t.decode("utf-8", "replace") for t in texts]
             grams, sizes = _grams(plain)
-            logs = log_probability(model.value, grams)
+            logs = every[grams].astype(float)
             ends = np.cumsum(sizes)
             means = -np.add.reduceat(logs, ends - sizes) / sizes
             columns = [
-                [len(w) for w in split],
+                n_words,
                 # Bytes that go on with a character are no characters of their own.
                 [len(p) - (len(t) - len(t.translate(None, _SPACES))) for p, t in zip(plain, texts)],
                 [len(t) - len(t.translate(None, _SYMBOL_CHARS)) for t in texts],
                 [_line_repeats(t) for t in texts],
-                repeated_words(split),
+                repeated_words(hashes, n_words),
                 [len(p) for p in plain],
             ]
             yield pa.RecordBatch.from_arrays(
@@ -305,7 +305,7 @@ def _quartiles(found: DataFrame, column: str, name: str) -> DataFrame:
 
 def judge(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """The figures of every row, base_failed, the band (low, high), word_high and kept."""
-    found = settle(measure(docs, train(docs)), "quality")
+    found = measure(docs, train(docs))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
     by_words = word_perplexity(docs)

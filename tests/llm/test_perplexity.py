@@ -6,6 +6,7 @@ import numpy as np
 from absentia.llm import perplexity, word_model
 from absentia.llm.queries import QUERIES
 from absentia.llm.texts import text_key
+from absentia.sources import storage
 
 
 def brute(text):
@@ -178,3 +179,30 @@ def test_word_salad_and_other_scripts(spark):
         got = {r.doc_id: r for r in got.collect()}
         assert got[-1].word_log_perplexity > got[-1].word_high and not got[-1].kept
         assert np.mean([r.kept for k, r in got.items() if k >= 0]) > 0.9
+
+
+def test_word_model_in_many_parts(documents, docs, monkeypatch):
+    """However n-grams are dealt out, and whichever words have codes, values are the same."""
+    for table in (documents, docs):
+        want = {r.word_key: r.word_log_perplexity for r in word_model.word_perplexity(table).collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(word_model, "PART_BYTES", 40_000)
+            patch.setattr(word_model, "CODES", 50)
+            got = {r.word_key: r.word_log_perplexity for r in word_model.word_perplexity(table).collect()}
+        assert want and got == want
+
+
+def test_intermediate_tables_are_small(documents, tmp_path, monkeypatch):
+    """No table of n-grams stays behind."""
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    assert perplexity.judge(documents).count()
+    texts = sum(len((r.text or "").encode()) for r in documents.collect())
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < texts / 4
+
+
+def test_word_hashes():
+    texts = ["", " ", "a b\ta  \n", "\u0431\u0430 a\u00e9 \u65e5", "ab ba " * 300_000, "b"]
+    hashes, sizes = word_model.word_hashes([t.encode() for t in texts])
+    split = [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    assert len(set(zip(split, hashes.tolist()))) == len(set(split)) == len(set(hashes.tolist()))
